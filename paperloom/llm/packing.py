@@ -37,43 +37,76 @@ from .common import materialize
 CAPACITY, END_ID = 2048, 0
 #: Rows of one length that one task ranks.
 CELL_ROWS = 50_000
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 600_000
+#: Words and word parts whose ids a worker remembers; beyond it, it starts anew.
+CACHE_WORDS, CACHE_PARTS = 500_000, 600_000
+
+
+class Remembered(dict):
+    """A function's values by argument; forgets all of them when there are too many."""
+
+    def __init__(self, function, most: int):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.function(key)
+        return value
 
 
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, remembered by word.
 
     The vocabulary drops white space and no token crosses it, so a text's ids
-    are those of its words, one after another. A text that holds a special
-    token's string, or controls that Python alone takes for white space, is
-    encoded as a whole.
+    are those of its words, one after another. A new word is cut into the parts
+    that the vocabulary's own rule makes (contractions, letters, single digits,
+    other signs), and only new parts reach the BPE model. A text that holds a
+    special token's string, or controls that Python alone takes for white space,
+    is encoded as a whole, as is everything under a vocabulary of another kind.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.whole.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        self.by_word = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.by_word else None
+        self.known, self.parts = Remembered(self._word, CACHE_WORDS), Remembered(self._part, CACHE_PARTS)
+        # byte-level BPE writes bytes that don't print as characters from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: 256 + k for k, b in enumerate(rest)}
 
     def _ids(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() and max(word) > "\u024f":  # Python's Unicode tables may be newer than the tokenizer's
+            return self._ids(word)
+        parts, low = self.parts, word.lower()
+        if low.isalpha():
+            return parts[low]
+        if low[-1] in ".,;:" and low[:-1].isalpha():
+            return parts[low[:-1]] + parts[low[-1]]
+        return b"".join([parts[p] for p in self.cut(low)])
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.by_word or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self._ids(text)
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-            return b"".join([known[w] for w in words])
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
