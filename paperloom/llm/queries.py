@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, quality
+from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality
 from .common import table
 
-PACKING_VOCABULARY = "word_bpe_49k.json"
+PACKING_VOCABULARY, SCORING_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), vocabulary(SCORING_VOCABULARY))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
