@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality
+from . import exact_dedup, html_extraction, lm_scoring, matroska, mixing, near_dedup, packing, pii, quality, transcripts
 from .common import table
 
 PACKING_VOCABULARY, SCORING_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digest(matroska.encode(table(spark, sf_dir, "documents")))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -35,6 +39,10 @@ def op5_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), vocabulary(SCORING_VOCABULARY))
 
 
+def op6_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +51,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_transcript_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.recover(table(spark, sf_dir, "conversations"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
