@@ -95,7 +95,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     taken = mix(docs, id_col=id_col, **options)
     times = taken.filter("taken > 0").select(F.col(id_col).alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
     d = docs.alias("d").join(times, F.col(f"d.`{id_col}`") == F.col("_id"))
-    return d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return d.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("__time__")).drop("__time__")
 
 
 SQL = """

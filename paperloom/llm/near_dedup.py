@@ -12,15 +12,18 @@ everything else works on class representatives (the smallest id).
   members pairs all of them; a larger one is split by the next value, and its
   parts are linked along the order; what is still large at full depth (the
   labels are equal) is linked along the order and to its first member. So each
-  member makes a bounded number of candidates in each order, and none is cut.
+  member makes a bounded number of candidates in each order. Members of larger
+  regions are noted.
 * A bit of each value travels along as a sketch; pairs whose sketches agree on
-  less than MIN_AGREE of the bits (about five deviations below what the
+  less than MIN_AGREE of the bits (about four deviations below what the
   threshold gives) are not candidates.
 * Links are confirmed on the full shingle sets, in two rounds: first the two
-  best candidates of each representative, then all candidates whose ends are
-  still in different components. A candidate inside a component would add no
-  reachability, so large groups are confirmed by a number of pairs that grows
-  with their size, not its square.
+  best candidates of each representative; then all candidates whose ends are
+  still in different components, and for the members of larger regions also
+  their NEAREST members of other components by sketch, in each region of up to
+  WIDE members (wider ones by the next value, or along the order). A candidate
+  inside a component would add no reachability, so large groups are confirmed by
+  a number of pairs that grows with their size, not its square.
 * Components by large-star/small-star on tables (`components`).
 
 With a similarity of 0.75 two texts share a prefix of SHALLOW values in a given
@@ -50,7 +53,7 @@ from .shingles import N, common, normalised, shingle_hashes
 
 TREES, SHALLOW, DEPTH = 32, 4, 8
 VALUES = TREES * SHALLOW
-SMALL = 6
+SMALL, WIDE, NEAREST = 6, 2048, 8
 MIN_AGREE = 93  # of 128 sketch bits; expected are 112 at 0.75, 64 for unlike texts
 #: Shingles hashed at a time, so that they stay in a core's cache.
 BLOCK = 1 << 14
@@ -108,14 +111,13 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column(0)
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         values, sketch = sig[:, : 2 * VALUES].reshape(-1, VALUES, 2), np.ascontiguousarray(sig[:, 2 * VALUES :])
         fixed = lambda x, w: pa.array([x[i * w : i * w + w] for i in range(len(x) // w)], pa.binary())
         sketches = fixed(sketch.tobytes(), sketch.shape[1])
         for t, use in enumerate(LABEL_VALUES):
             label = np.concatenate((np.full((len(values), 1), t, np.uint8), values[:, use, :].reshape(len(values), -1)), axis=1)
-            yield pa.RecordBatch.from_arrays([fixed(label.tobytes(), label.shape[1]), ids, sketches], ["label", "id", "sketch"])
+            yield pa.RecordBatch.from_arrays([fixed(label.tobytes(), label.shape[1]), batch.column(0), sketches, batch.column(2)], ["label", "id", "sketch", "component"])
 
 
 def region_pairs(labels: np.ndarray, small: int = SMALL) -> list[tuple[int, int]]:
@@ -129,63 +131,100 @@ def region_pairs(labels: np.ndarray, small: int = SMALL) -> list[tuple[int, int]
         elif depth == DEPTH:
             out += [(i, i + 1) for i in range(lo, hi - 1)] + [(lo, i) for i in range(lo + 2, hi)]
         else:
-            cuts = [lo, *(lo + 1 + np.flatnonzero(labels[lo + 1 : hi, depth] != labels[lo : hi - 1, depth])), hi]
-            for x, y in zip(cuts, cuts[1:], strict=False):
+            for x, y in _parts(labels, lo, hi, depth):
                 if y < hi:
                     out.append((y - 1, y))
                 if y - x > 1:
-                    todo.append((int(x), int(y), depth + 1))
+                    todo.append((x, y, depth + 1))
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From leaves in order to candidate pairs. At a batch's end the open region is carried over; of one that fills a batch, its first and last leaves are."""
-    kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+def _parts(labels: np.ndarray, lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
+    cuts = [lo, *(lo + 1 + np.flatnonzero(labels[lo + 1 : hi, depth] != labels[lo : hi - 1, depth])).tolist(), hi]
+    return list(zip(cuts, cuts[1:], strict=False))
 
-    def pairs(label: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch | None:
+
+def foreign_pairs(labels: np.ndarray, sketch: np.ndarray, component: np.ndarray, nearest: int = NEAREST, wide: int = WIDE) -> list[tuple[int, int]]:
+    """For each member of a region outside its commonest component: its nearest members of other components by sketch."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(labels), SHALLOW)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo > wide:
+            todo += [(x, y, depth + 1) for x, y in _parts(labels, lo, hi, depth) if y - x > 1] if depth < DEPTH else [(k, min(hi, k + wide), depth) for k in range(lo, hi, wide)]
+            continue
+        own, count = np.unique(component[lo:hi], return_counts=True)
+        if len(own) < 2:
+            continue
+        few = lo + np.flatnonzero(component[lo:hi] != own[count.argmax()])
+        for at in range(0, len(few), 64):
+            some = few[at : at + 64]
+            agree = 128 - np.bitwise_count(sketch[some, None, :] ^ sketch[None, lo:hi, :]).sum(axis=2, dtype=np.int16)
+            agree[component[some, None] == component[None, lo:hi]] = -1
+            k = min(nearest, hi - lo)
+            best = np.argpartition(-agree, k - 1, axis=1)[:, :k]
+            for i, row, a in zip(some.tolist(), best.tolist(), np.take_along_axis(agree, best, axis=1).tolist(), strict=True):
+                out += [(min(i, lo + j), max(i, lo + j)) for j, x in zip(row, a, strict=True) if x >= MIN_AGREE]
+    return out
+
+
+def _candidates(foreign: bool):
+    """From leaves in order to candidate pairs. A batch's last region is carried over to the next; one that fills several batches is paired as far as it has come and goes on from its last leaves."""
+
+    def pairs(label: np.ndarray, ids: np.ndarray, sketch: np.ndarray, component: np.ndarray) -> pa.RecordBatch | None:
         prefix = label[:, : 1 + 2 * SHALLOW]
         new = np.flatnonzero((prefix[1:] != prefix[:-1]).any(axis=1)) + 1
         edges = np.concatenate(([0], new, [len(label)]))
-        left, right = [], []
-        for k in np.flatnonzero(np.diff(edges) > 1):
-            lo, hi = edges[k], edges[k + 1]
+        left: list[int] = []
+        right: list[int] = []
+        dense: list[int] = []
+        for k in np.flatnonzero(np.diff(edges) > 1).tolist():
+            lo, hi = int(edges[k]), int(edges[k + 1])
             if hi - lo == 2:
-                left.append(lo)
-                right.append(lo + 1)
-                continue
-            values = label[lo:hi, 1:].astype(np.uint32)
-            for i, j in region_pairs(values[:, 0::2] << np.uint32(8) | values[:, 1::2]):
-                left.append(lo + i)
-                right.append(lo + j)
-        if not left:
+                found = [(0, 1)] if not foreign or component[lo] != component[lo + 1] else []
+            else:
+                raw = label[lo:hi, 1:].astype(np.uint32)
+                values = raw[:, 0::2] << np.uint32(8) | raw[:, 1::2]
+                found = foreign_pairs(values, sketch[lo:hi], component[lo:hi]) if foreign else region_pairs(values)
+                if hi - lo > SMALL and not foreign:
+                    dense += range(lo, hi)
+            left += [lo + i for i, _ in found]
+            right += [lo + j for _, j in found]
+        if not left and not dense:
             return None
-        i, j = np.array(left), np.array(right)
-        agree = 128 - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        i, j = np.array(left, int), np.array(right, int)
+        agree = 128 - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) if len(i) else np.zeros(0, int)
         good = (agree >= MIN_AGREE) & (ids[i] != ids[j])
         i, j, agree = i[good], j[good], agree[good]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+        noted = np.unique(ids[np.array(dense, int)])
+        a, b = (np.concatenate((f(ids[i], ids[j]), noted)) for f in (np.minimum, np.maximum))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate((agree, np.zeros(len(noted), int))).astype(np.int32))], ["a", "b", "agree"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        n = batch.num_rows
-        now = tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in (0, 2))
-        label, sketch, ids = now[0], now[1], batch.column(1).to_numpy(zero_copy_only=False)
-        if kept is not None:
-            label, ids, sketch = (np.concatenate(x) for x in zip(kept, (label, ids, sketch), strict=True))
-        prefix = label[:, : 1 + 2 * SHALLOW]
-        same = (prefix == prefix[-1]).all(axis=1)
-        open_at = int(np.argmax(same))
-        if open_at == 0 and len(label) > 4 * n:  # a region over many batches: pair what there is, go on from its first and last
-            if (found := pairs(label, ids, sketch)) is not None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            label, sketch = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in (0, 2))
+            ids, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 3))
+            now = (label, ids, sketch, component)
+            if kept is not None:
+                now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
+            prefix = now[0][:, : 1 + 2 * SHALLOW]
+            open_at = int(np.argmax((prefix == prefix[-1]).all(axis=1)))
+            if open_at == 0 and len(prefix) > 4 * n:
+                if (found := pairs(*now)) is not None:
+                    yield found
+                kept = tuple(x[-n:] for x in now)
+                continue
+            if open_at and (found := pairs(*(x[:open_at] for x in now))) is not None:
                 yield found
-            kept = tuple(np.concatenate((x[:1], x[-1:])) for x in (label, ids, sketch))
-            continue
-        if (found := pairs(label[:open_at], ids[:open_at], sketch[:open_at])) is not None:
+            kept = tuple(x[open_at:] for x in now)
+        if kept is not None and (found := pairs(*kept)) is not None:
             yield found
-        kept = (label[open_at:], ids[open_at:], sketch[open_at:])
-    if kept is not None and (found := pairs(*kept)) is not None:
-        yield found
+
+    return run
 
 
 def _verify(percent: int):
@@ -222,18 +261,21 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = materialize(rows.mapInArrow(_sign, "id long, key binary, n_shingles long, sig binary"))
     classes = materialize(signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).filter("rep IS NOT NULL"))
-    leaves = classes.select("rep", "sig").mapInArrow(_leaves, "label binary, id long, sketch binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = leaves.repartitionByRange(parts, "label").sortWithinPartitions("label", "id")
-    pairs = ordered.mapInArrow(_candidates, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    pairs = materialize(pairs)
 
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    keyed = classes.select("rep").join(ends, "rep", "left_semi")
-    texts = materialize(rows.join(keyed, rows["id"] == keyed["rep"], "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    def candidates(members: DataFrame, foreign: bool) -> DataFrame:
+        leaves = members.mapInArrow(_leaves, "label binary, id long, sketch binary, component long")
+        ordered = leaves.repartitionByRange(parts, "label").sortWithinPartitions("label", "id")
+        return ordered.mapInArrow(_candidates(foreign), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+    found_pairs = materialize(candidates(classes.select("rep", "sig", F.lit(0).cast("long")), False))
+    pairs, dense = found_pairs.filter("a < b"), found_pairs.filter("a = b").select(F.col("a").alias("rep"))
+
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(dense).distinct()
+    texts = materialize(rows.join(ends, rows["id"] == ends["rep"], "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
-    def confirm(candidates: DataFrame) -> DataFrame:
-        x = candidates.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    def confirm(some: DataFrame) -> DataFrame:
+        x = some.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         x = x.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         return x.mapInArrow(_verify(percent), "a long, b long")
 
@@ -246,9 +288,11 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     links = materialize(confirm(chosen))
     found = materialize(components(links))
 
-    rest = pairs.join(chosen, ["a", "b"], "left_anti")
+    known = found.select(F.col("node").alias("rep"), "component")
+    members = classes.join(dense, "rep", "left_semi").join(known, "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("component"))
+    rest = pairs.select("a", "b").union(candidates(members, True).filter("a < b").select("a", "b")).distinct().join(chosen, ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        rest = rest.join(found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        rest = rest.join(known.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}")), end, "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = materialize(confirm(rest))
     if not more.isEmpty():

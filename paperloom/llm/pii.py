@@ -129,21 +129,21 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) ->
 
 def distinct_surrogates(entities: DataFrame, key: str = KEY, max_rounds: int = 50) -> DataFrame:
     """(entity, kind, surrogate) from distinct (entity, kind); no two different entities share a surrogate, and none is an entity. Case variants of an entity count as one."""
-    base = materialize(entities.select("kind", F.lower("entity").alias("same")).distinct())
+    base = materialize(entities.groupBy("kind", F.lower("entity").alias("same")).agg(F.min("entity").alias("shown")))
     settled = None
     open_ = base.withColumn("attempt", F.lit(0))
     for _ in range(max_rounds):
-        # e-mails and names are compared with their case folded, like the entities
-        drawn = open_.withColumn("out", F.lower(surrogate(F.col("same"), F.col("kind"), F.col("attempt"), key)))
+        # compared with their case folded, like the entities: variants of one entity differ in case only, and so do their surrogates
+        drawn = open_.withColumn("out", F.lower(surrogate(F.col("shown"), F.col("kind"), F.col("attempt"), key)))
         taken = base.select("kind", F.col("same").alias("out"))
         if settled is not None:
             taken = taken.union(settled.select("kind", "out"))
         rank = F.row_number().over(Window.partitionBy("kind", "out").orderBy("same"))
         judged = drawn.withColumn("rank", rank).join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "out"], "left")
-        judged = materialize(judged.select("kind", "same", "attempt", "out", ((F.col("rank") == 1) & F.col("taken").isNull()).alias("good")))
+        judged = materialize(judged.select("kind", "same", "shown", "attempt", "out", ((F.col("rank") == 1) & F.col("taken").isNull()).alias("good")))
         good = judged.filter("good").select("kind", "same", "attempt", "out")
         settled = good if settled is None else settled.union(good)
-        open_ = judged.filter("NOT good").select("kind", "same", (F.col("attempt") + 1).alias("attempt"))
+        open_ = judged.filter("NOT good").select("kind", "same", "shown", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             break
     else:

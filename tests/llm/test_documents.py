@@ -1,0 +1,207 @@
+"""Operators on single documents: media, personal data, pages and transcripts."""
+
+import random
+import re
+import zlib
+
+import pytest
+import regex
+
+from paperloom.llm import html_extraction as hx
+from paperloom.llm import matroska as mk
+from paperloom.llm import pii, transcripts
+from paperloom.llm.html_blocks import blocks
+
+# Matroska
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "é" * 95, "x" * 192, "x" * 193, "long text " * 30_000])
+def test_media_round_trip(text):
+    payload, n = mk.payload_of(text)
+    raw = (text or "").encode()
+    assert n == len(raw) and len(payload) % 192 == 0 and payload.startswith(raw) and not payload[n:].strip(b" ") and len(payload) - n <= 192
+    media = mk.parse(mk.write(payload))
+    assert mk.track_bytes(mk.write(payload), media, 1) == payload
+    at = 0
+    for p in media.packets:
+        assert p.timestamp == at
+        at += p.end - p.start
+    assert {c[2] for c in media.cues} == set(media.clusters)
+
+
+@pytest.mark.parametrize("lacing", ["none", "xiph", "ebml", "fixed"])
+def test_lacing(lacing):
+    rng = random.Random(1)
+    for _ in range(30):
+        n = 1 if lacing == "none" else rng.randint(2, 9)
+        size = rng.randint(0, 900)
+        frames = [bytes([k]) * (size if lacing == "fixed" else rng.choice((0, 1, 126, 127, 128, 254, 255, 256, 20_000))) for k in range(n)]
+        body = mk.laced(1, 7, frames, lacing)
+        tracks = mk.element(mk.TRACKS, mk.element(mk.TRACK, mk.number(mk.NUMBER, 1) + mk.number(mk.DEFAULT_DURATION, 20_000_000)))
+        head = mk.element(mk.EBML, mk.element(mk.DOC_TYPE, b"webm"))
+        group = mk.element(mk.GROUP, mk.element(mk.BLOCK, body) + mk.number(mk.BLOCK_DURATION, 4))
+        void = mk.element(0xEC, b"\0" * 9)
+        cluster = mk.number(mk.TIMESTAMP, 100) + mk.element(mk.SIMPLE, body) + void + group
+        live = b"\x1f\x43\xb6\x75\x01\xff\xff\xff\xff\xff\xff\xff" + cluster  # a cluster of unknown size
+        data = head + b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff" + tracks + live + mk.element(mk.CLUSTER, cluster)
+        media = mk.parse(data)
+        assert [data[p.start : p.end] for p in media.packets] == frames * 4
+        assert [p.timestamp for p in media.packets[:n]] == [107 + 20 * k for k in range(n)]
+        assert len(media.clusters) == 2
+
+
+def test_broken_files(spark):
+    whole = mk.write(mk.payload_of("hello " * 900)[0])
+    for data in (b"", b"text", whole[:-1], whole[:60]):
+        with pytest.raises(mk.MatroskaError):
+            mk.parse(data)
+    rows = mk.packets(spark.createDataFrame([(1, whole), (2, whole[:-1]), (3, None)], "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in rows if r.error} == {2, 3} and sum(r.doc_id == 1 for r in rows) == 4
+
+
+def test_digest(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (None, "b" * 500)], "doc_id long, text string")
+    got = {r.doc_id: r for r in mk.digest(mk.encode(docs)).collect()}
+    assert got[1][1:] == got[2][1:] and got[3].n_bytes == 0 and got[None].payload_bytes == 576
+    assert got[1].tail_crc32 == zlib.crc32(b" " * 16)
+    assert mk.digest(mk.encode(docs.limit(0))).count() == 0
+
+
+# Personal data
+
+TEXT = "Mail ann.b@corp.example.org or ANN.B@corp.example.org, call +1 (372) 555-7739. Card 4952935900253052, host 10.2.30.4. Dear Mrs Olga Petrova, and Herr Иван Петров. token = \"dfd1944d2e84f15e89902e34b677eb5a8a7d42ab\" DE89 3704 0044 0532 0130 00 end 123-45-6789"
+
+
+def found(text):
+    return [m.group() for m in regex.finditer(pii.ANY, text or "")]
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(d)) % 10 == 0
+
+
+def test_surrogates(spark):
+    rows = [(1, TEXT), (2, "again ann.b@corp.example.org"), (3, None), (4, ""), (5, "nothing 12 here"), (None, TEXT), (1, TEXT)]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[3].text is None and by[4].text == "" and by[5].text == "nothing 12 here" and by[5].n_entities == 0
+    assert by[None].text == by[1].text and by[1].kinds == "card,email,hex,iban,ip,name,phone,ssn"
+    old, new = found(TEXT), found(by[1].text)
+    assert len(old) == len(new) == by[1].n_entities == 10
+    assert not set(map(str.lower, old)) & set(map(str.lower, new))
+    shape = lambda s: re.sub(r"[А-Яа-я]", "c", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"\d", "9", s))))
+    assert new[0].lower() == new[1].lower() and shape(new[0].split("@")[0]) == shape(old[0].split("@")[0]) and found(by[2].text) == new[:1]
+    for k in (2, 3, 7, 8, 9):
+        assert shape(new[k]) == shape(old[k])
+    assert luhn(old[3]) == luhn(new[3]) and all(0 <= int(x) <= 255 for x in new[4].split("."))
+    assert new[5].startswith("Mrs ") and new[5].split()[1] in pii.FEMALE and new[6].startswith("Herr ") and re.fullmatch(r"[А-Я][а-я]+ [А-Я][а-я]+", new[6][5:])
+
+
+def test_surrogates_are_distinct(spark):
+    entities = [f"1.1.{a}.{b}" for a in range(40) for b in range(50)] + ["Mr Al Bo", "Mr Al Bi", "Mr AL Bo"]
+    table = spark.createDataFrame([(e, "name" if e[0] == "M" else "ip") for e in entities], "entity string, kind string")
+    got = pii.distinct_surrogates(table).collect()
+    assert len(got) == len(entities)
+    names = {(r.kind, r.surrogate.lower()) for r in got}
+    assert len(names) == len({e.lower() for e in entities})
+    assert not names & {(r.kind, r.entity.lower()) for r in got}
+    # two-letter names collide again and again and must still part
+    short = spark.createDataFrame([(f"Mr {chr(65 + a)}{chr(97 + b)}", "name") for a in range(12) for b in range(20)], "entity string, kind string")
+    assert short.count() == len({r.surrogate for r in pii.distinct_surrogates(short).collect()})
+
+
+# Pages
+
+
+@pytest.fixture(scope="module")
+def field():
+    return hx.trained()
+
+
+def test_field_on_held_out_pages(field):
+    rng = random.Random(12345)
+    pages = [p for p in (hx.labelled_page(rng) for _ in range(200)) if p]
+    right = total = 0
+    for p in pages:
+        y = field.viterbi(hx.describe([b for b, _ in p]))
+        right += sum(a == v for a, (_, v) in zip(y, p, strict=True))
+        total += len(p)
+    assert right / total > 0.98
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two</b>\n three.<br>Four<p>Five</article><footer>&copy; me</footer></body></html>", "A & B\nOne two three. Four\nFive"),
+        ("<body><header><h1>Site</h1></header><main><p>Text of the story, long enough.</p><!-- <p>no</p> --><div class='ad'>Buy now</div><ul><li>first point of it<li>second point of it</ul></main><section id=comments><p>I like it.</p></section><div hidden><p>never</p></div>", "Text of the story, long enough.\nfirst point of it\nsecond point of it"),
+    ],
+)
+def test_main_text(field, page, want):
+    assert hx.main_text(page, field) == want
+
+
+def test_viterbi_is_the_best_path(field):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6, len(hx.FEATURES)))
+    e = x @ field.w
+    score = lambda y: sum(e[k, s] for k, s in enumerate(y)) + sum(field.t[a, b] for a, b in zip(y, y[1:], strict=False))
+    assert tuple(field.viterbi(x)) == max(itertools.product((0, 1), repeat=6), key=score)
+
+
+def test_odd_markup():
+    assert [b.text for b in blocks("a < b <p title='>'>c<p>d&nbsp;&#233;</div></p>e<b")][:3] == ["a < b", "c", "d é"]
+    assert blocks("<" * 20_000 + "\"'" * 20_000) is not None
+    assert len(blocks("<div>" * 3000 + "x" + "</div>" * 3000)) == 1
+
+
+def test_extract(spark, field):
+    rows = [(1, "u", "<article><p>Hello there, reader of this.</p></article>"), (1, "u", None), (None, None, "")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = hx.extract(pages, field).collect()
+    assert sorted(r.n_chars for r in got) == [0, 0, 28]
+    assert hx.extract(pages.limit(0), field).count() == 0
+
+
+# Transcripts
+
+
+def test_roles_are_recovered(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = transcripts.recover(conv)
+    assert got.count() == conv.select("conv_id").distinct().count()
+    held = got.filter("held_out").collect()
+    assert sum(r.right_lines for r in held) / sum(r.lines for r in held) > 0.95
+
+
+def test_viterbi_of_the_model():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    samples = [(np.stack([rng.integers(0, n, 20) for n in transcripts.FEATURES.values()], axis=1), [1, *rng.integers(0, 6, 19).tolist()]) for _ in range(5)]
+    m = transcripts.fit(samples)
+    x = samples[0][0][:5]
+    score = lambda y: m.start[y[0]] + sum(m.move[a, b] for a, b in zip(y, y[1:], strict=False)) + sum(t[s, x[k, j]] for k, s in enumerate(y) for j, t in enumerate(m.emit))
+    assert score(m.states(x)) == pytest.approx(max(map(score, itertools.product(range(6), repeat=5))))
+
+
+def test_odd_conversations(spark):
+    rows = [(1, 0, "user", "Hi?"), (1, 1, "assistant", None), (1, 1, None, ""), (None, 0, "user", "a\n\nb"), (2, None, "strange", "x"), (1, 0, "user", "Hi?"), (3, 300, "user", "later")]
+    conv = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segment string")
+    model = transcripts.train(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    got = transcripts.recover(conv, model).collect()
+    assert {(r.conv_id, r.segment): r.n_turns for r in got} == {(1, 0): 4, (None, 0): 1, (2, 0): 1, (3, 1): 1}
+    assert transcripts.recover(conv.limit(0), model).count() == 0
+    raw = spark.createDataFrame([(1, "User: hello\nAssistant: hi there.\nmore"), (2, None), (3, "")], "id long, text string")
+    turns = [(r.id, r.turn, r.role, r.text) for r in transcripts.parse_table(raw, model).orderBy("id", "turn").collect()]
+    assert turns == [(1, 0, "user", "hello"), (1, 1, "assistant", "hi there.\nmore")]
+    assert transcripts.canonical([("user", "a")]) == "<|user|>\na\n<|end|>\n"
