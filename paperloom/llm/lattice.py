@@ -37,17 +37,22 @@ def vocabulary_pieces(model_file: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
+    """Pieces by the hash of their bytes. Prefixes of pieces are in the tables too, so a search stops where no piece goes on."""
+
     def __init__(self, pieces: list[bytes]):
         self.longest = max(map(len, pieces))
-        self.hashes = np.zeros(len(pieces) + 1, np.uint64)
+        known: dict[bytes, int] = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+        known |= {p: k for k, p in enumerate(pieces)}
+        self.hashes = np.zeros(len(known) + 1, np.uint64)
+        self.piece = np.full(len(known) + 1, -1, np.int32)
         with np.errstate(over="ignore"):
-            for k, p in enumerate(pieces):
+            for k, (p, i) in enumerate(known.items()):
                 h = np.uint64(0)
                 for b in p:
                     h = (h + np.uint64(b + 1)) * _BASE
-                self.hashes[k] = h
-        self.tables = [np.full(1 << _BITS, len(pieces), np.int32) for _ in range(3)]
-        left = np.arange(len(pieces))
+                self.hashes[k], self.piece[k] = h, i
+        self.tables = [np.full(1 << _BITS, len(known), np.int32) for _ in range(3)]
+        left = np.arange(len(known))
         for t, table in enumerate(self.tables):
             at = self._at(self.hashes[left], t)
             table[at] = left
@@ -59,27 +64,30 @@ class Lattice:
     def _at(h: np.ndarray, t: int) -> np.ndarray:
         return (h >> np.uint64((44, 24, 4)[t])) & np.uint64((1 << _BITS) - 1)
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in h that are pieces, and which."""
-        where, what = [], []
-        for t, table in enumerate(self.tables):
-            k = table[self._at(h, t)]
-            hit = np.flatnonzero(self.hashes[k] == h)
-            hit = hit[k[hit] < len(self.hashes) - 1]
-            where.append(hit)
-            what.append(k[hit])
-        return np.concatenate(where), np.concatenate(what)
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """For each hash its place among the pieces and prefixes, or the place after the last."""
+        k = self.tables[0][self._at(h, 0)]
+        for t in (1, 2):
+            miss = np.flatnonzero(self.hashes[k] != h)
+            k[miss] = self.tables[t][self._at(h[miss], t)]
+        k[self.hashes[k] != h] = len(self.hashes) - 1
+        return k
 
     def _edges(self, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         n = rows.shape[1]
-        codes = rows.astype(np.uint64) + np.uint64(1)
+        codes = rows.T.astype(np.uint64) + np.uint64(1)
         for i in range(n):
-            h = np.zeros(len(rows), np.uint64)
+            who, h = np.arange(len(rows)), np.zeros(len(rows), np.uint64)
             for j in range(i, min(n, i + self.longest)):
-                h = (h + codes[:, j]) * _BASE
-                who, piece = self.find(h)
-                if len(who):
-                    yield i, j + 1, who, piece
+                h = (h + codes[j][who]) * _BASE
+                k = self.find(h)
+                on = np.flatnonzero(k < len(self.hashes) - 1)
+                if not len(on):
+                    break
+                who, h, piece = who[on], h[on], self.piece[k[on]]
+                whole = np.flatnonzero(piece >= 0)
+                if len(whole):
+                    yield i, j + 1, who[whole], piece[whole]
 
     def forward(self, rows: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """log p of each row, summed over its segmentations."""

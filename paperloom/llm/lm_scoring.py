@@ -40,6 +40,8 @@ from .common import materialize
 from .lattice import Lattice, vocabulary_pieces
 
 CHUNK_BYTES, EM_ROUNDS, FOLDS, HELD_OUT = 16 << 20, 3, 7, 2
+#: Words that a task weighs at a time.
+GATHER = 150_000
 #: What a piece counts besides its expected count.
 PRIOR = 0.01
 
@@ -56,6 +58,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHER) -> Iterator[pa.RecordBatch]:
+    """Larger batches: words of one length are handled together, and the more the better."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _requests():
     def run(chunk: pa.Table) -> pa.Table:
         train, asked = Counter(), set()
@@ -74,7 +88,7 @@ def _requests():
 def _expect(model_file: str, logp: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, out = _lattice(model_file), np.zeros(len(logp))
-        for b in batches:
+        for b in _gathered(batches):
             words = b.column(0).to_pylist()
             for at, rows in lattice.by_length(words):
                 lattice.expected(rows, np.ones(len(at)), logp, out)
@@ -103,7 +117,7 @@ def _weigh(model_file: str, logp: np.ndarray, total: int, known: int, discount:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(model_file)
         share = np.log(discount * known / total) if total else 0.0
-        for b in batches:
+        for b in _gathered(batches):
             coded = b.column(1).dictionary_encode()
             words = coded.dictionary.to_pylist()
             spelt = np.zeros(len(words))
