@@ -272,11 +272,12 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     pairs, dense = found_pairs.filter("a < b"), found_pairs.filter("a = b").select(F.col("a").alias("rep"))
 
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(dense).distinct()
-    texts = materialize(rows.join(ends, rows["id"] == ends["rep"], "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    # sorted and merged whatever the sizes: what would be broadcast grows with the corpus
+    texts = materialize(rows.join(ends.hint("merge"), rows["id"] == ends["rep"], "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
     def confirm(some: DataFrame) -> DataFrame:
-        x = some.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        x = x.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        x = some.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+        x = x.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
         return x.mapInArrow(_verify(percent), "a long, b long")
 
     best = F.struct((-F.col("agree")).alias("w"), F.col("to").alias("to"))
