@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, parse_date
@@ -57,3 +57,11 @@ def historical_conflict(r: DataFrame) -> DataFrame:
     known = lead.join(second, "n")
     out = x.join(known, "n").select("id", F.when(F.col("d") != F.col("m1.d"), F.col("m1.first")).otherwise(F.col("f2")).alias("other"))
     return out
+
+
+def hydrated() -> Column:
+    """A record's fields: those in its JSON, and its columns where the JSON doesn't have their key."""
+    extra = F.coalesce(F.from_json("extra_fields", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    pairs = {"Citizen Name": "citizen_name", "Certificate Number": "certificate_number", "Aadhaar Number": "aadhaar_number", "District": "district", "Date of Birth": "dob", "Issue Date": "issue_date"}
+    columns = F.create_map(*[x for k, c in pairs.items() for x in (F.lit(k), F.col(c))])
+    return F.map_concat(extra, F.map_filter(columns, lambda k, v: (F.coalesce(v, F.lit("")) != "") & ~F.map_contains_key(extra, k)))

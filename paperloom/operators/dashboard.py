@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.text import clean_name, taluk_district
 from . import rules
 
 SEARCHED = ("citizen_name", "certificate_number", "aadhaar_number", "district", "ocr_text")
@@ -92,12 +93,16 @@ def required_presence(r: DataFrame) -> DataFrame:
     return x.select("id", "field", (F.coalesce(F.trim(F.try_element_at("m", F.col("field"))), F.lit("")) != "").alias("present"))
 
 
-def verification_report(r: DataFrame) -> DataFrame:
-    """(id, flagged, fields, status) by the rules on certificate, Aadhaar number, name and district."""
+def _infos() -> Column:
+    """What the rules on certificate, Aadhaar number, name and district say of a record."""
     cert = F.when(F.col("document_type").isin("Community Certificate", "Income Certificate", "Birth Certificate"), rules.verify_certificate(F.col("certificate_number")))
     aad = F.when((F.col("document_type") == "Aadhaar Card") | (F.coalesce(F.trim("aadhaar_number"), F.lit("")) != ""), rules.verify_aadhaar(F.col("aadhaar_number")))
-    infos = F.filter(F.array(cert, aad, rules.verify_name(F.col("citizen_name"), "Citizen Name"), rules.verify_district(F.col("district"))), lambda x: x.isNotNull())
-    x = r.select("id", "verification_status", infos.alias("i"))
+    return F.filter(F.array(cert, aad, rules.verify_name(F.col("citizen_name"), "Citizen Name"), rules.verify_district(F.col("district"))), lambda x: x.isNotNull())
+
+
+def verification_report(r: DataFrame) -> DataFrame:
+    """(id, flagged, fields, status) by the rules on certificate, Aadhaar number, name and district."""
+    x = r.select("id", "verification_status", _infos().alias("i"))
     flagged = F.size(F.filter("i", lambda x: x["flagged"])).cast("long")
     return x.select("id", flagged.alias("flagged"), F.size("i").cast("long").alias("fields"), rules.overall_status(F.col("verification_status"), flagged).alias("status"))
 
@@ -107,3 +112,32 @@ def scored(r: DataFrame) -> DataFrame:
     measured = F.col("blur").isNotNull() | F.col("brightness").isNotNull() | F.col("skew").isNotNull()
     x = r.select("id", rules.completeness(F.col("document_type"), field_map())["score"].alias("complete"), F.when(measured, rules.image_score(F.col("blur"), F.col("brightness"), F.col("skew"))).alias("image"), rules.ocr_score(F.col("ocr_confidence")).alias("ocr"))
     return x.withColumn("score", rules.overall_score(F.col("complete"), F.col("image"), F.col("ocr")))
+
+
+def _statuses(r: DataFrame, as_of: str) -> Column:
+    """Status of each field and check of a record: required ones fail if blank, other than the type's own fields aren't checked."""
+    by_type = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    of = lambda d: F.coalesce(F.try_element_at(by_type(d), F.col("document_type")), F.try_element_at(by_type(d), F.lit("Generic Document")))
+    required, known = of(vocab.REQUIRED), F.array_union(of(vocab.REQUIRED), of(vocab.OPTIONAL))
+    given = F.map_filter(field_map(), lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")
+    present = F.transform(F.map_entries(given), lambda e: F.when(F.array_contains(known, e["key"]), rules.field_format(e["key"], e["value"])).otherwise("Passed"))
+    missing = F.transform(F.array_except(required, F.map_keys(given)), lambda _: F.lit("Failed"))
+    a, b, m = clean_name(F.col("citizen_name")), clean_name(F.col("father")), taluk_district(F.col("taluk"))
+    parent = F.when((F.lower(a) == F.lower(b)) & (F.length(a) > 2), "Warning").when(a.isNotNull() & b.isNotNull(), "Passed")
+    place = F.when(m.isNull() | (F.col("district") == ""), F.lit(None)).when(F.lower(m) != F.lower(F.trim("district")), "Warning").otherwise("Passed")
+    checks = F.array(rules.date_check(F.col("document_type"), F.col("dob"), F.col("issue_date"), as_of)["status"], parent, place)
+    return F.array_compact(F.concat(present, missing, checks))
+
+
+def consistency(r: DataFrame, as_of: str) -> DataFrame:
+    """(id, failed, warnings, passed, status) over a record's fields and checks; conflicts with other records are apart (historical_conflict)."""
+    x = r.select("id", _statuses(r, as_of).alias("s"))
+    n = lambda what: F.size(F.filter("s", lambda v: v == what)).cast("long")
+    x = x.select("id", n("Failed").alias("failed"), n("Warning").alias("warnings"), n("Passed").alias("passed"))
+    return x.withColumn("status", F.when(F.col("failed") > 0, "Failed").when(F.col("warnings") > 0, "Warning").otherwise("Passed"))
+
+
+def initial_status(r: DataFrame, as_of: str) -> DataFrame:
+    """(id, status) at upload: verified unless a field is flagged or a check fails. One pass, no join."""
+    flagged = F.size(F.filter(_infos(), lambda x: x["flagged"])) > 0
+    return r.select("id", F.when(flagged | F.array_contains(_statuses(r, as_of), "Failed"), "needs_review").otherwise("auto_verified").alias("status"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import extractors
 from ..functions import text as tx
 from ..functions import vocab
 from ..operators import assistant, corrections, dashboard, dedup, pages, rules
@@ -294,6 +295,20 @@ def extract_dl(r):
     return r.select("id", tx.extract_licence(F.col("ocr_text")).alias("licence"))
 
 
+def _extracted(extractor: str):
+    """All records' texts through one extractor, as (id, field, value); regular expressions with lookahead aren't DuckDB's."""
+    return lambda r: r.select("id", F.explode(extractors.extract(extractor, F.col("ocr_text"))).alias("field", "value"))
+
+
+for _key, _extractor in (("extract_income", "income_certificate"), ("extract_birth", "birth_certificate"), ("extract_community", "community_certificate"), ("extract_pan_card", "pan_card"), ("extract_dl_card", "driving_licence"), ("extract_generic", "generic")):
+    query(None, _key)(_extracted(_extractor))
+
+
+@query(None)
+def fuzzy_district(r):
+    return r.select("id", "district", extractors.close_district(F.initcap("district"), 0.7).alias("close"))
+
+
 # Promotion, status ----------------------------------------------------------------------------------------------------
 
 
@@ -425,8 +440,13 @@ def required_presence(r):
     return dashboard.required_presence(r)
 
 
-@query(_FIELDS + ", p AS (SELECT id, field, trim(v) AS v FROM kv WHERE trim(v) <> '') SELECT id, field, CASE WHEN field = 'Date of Birth' THEN CASE WHEN " + _DAY.format("v") + " IS NULL THEN 'Failed' ELSE 'Passed' END WHEN field = 'Aadhaar Number' THEN CASE WHEN NOT regexp_matches(regexp_replace(v, '\\s+', '', 'g'), '^\\d{12}$') THEN 'Failed' ELSE 'Passed' END"
-       + f" WHEN field = 'Certificate Number' THEN CASE WHEN regexp_matches(v, '[?~*!^]') THEN 'Warning' ELSE 'Passed' END WHEN field = 'District' THEN CASE WHEN {_KNOWN} THEN 'Passed' ELSE 'Warning' END WHEN field IN ('Citizen Name', 'Father''s Name') THEN CASE WHEN regexp_matches(v, '\\d') THEN 'Warning' ELSE 'Passed' END ELSE 'Passed' END AS status FROM p")
+_FORMAT = (
+    "CASE WHEN field = 'Date of Birth' THEN CASE WHEN " + _DAY.format("v") + " IS NULL THEN 'Failed' ELSE 'Passed' END WHEN field = 'Aadhaar Number' THEN CASE WHEN NOT regexp_matches(regexp_replace(v, '\\s+', '', 'g'), '^\\d{12}$') THEN 'Failed' ELSE 'Passed' END"
+    + f" WHEN field = 'Certificate Number' THEN CASE WHEN regexp_matches(v, '[?~*!^]') THEN 'Warning' ELSE 'Passed' END WHEN field = 'District' THEN CASE WHEN {_KNOWN} THEN 'Passed' ELSE 'Warning' END WHEN field IN ('Citizen Name', 'Father''s Name') THEN CASE WHEN regexp_matches(v, '\\d') THEN 'Warning' ELSE 'Passed' END ELSE 'Passed' END"
+)
+
+
+@query(_FIELDS + ", p AS (SELECT id, field, trim(v) AS v FROM kv WHERE trim(v) <> '') SELECT id, field, " + _FORMAT + " AS status FROM p")
 def field_format(r):
     return dashboard.fields(r).filter("trim(value) <> ''").select("id", "field", rules.field_format(F.col("field"), F.col("value")).alias("status"))
 
@@ -436,6 +456,33 @@ def historical_conflict(r):
     return corrections.historical_conflict(r)
 
 
+_OPT = " UNION ALL ".join(f"SELECT {_q(k)} AS document_type, {_q(f)} AS field" for k, fs in vocab.OPTIONAL.items() for f in fs)
+_CHECKED = f"""{_FIELDS}, req AS ({_REQ}), opt AS ({_OPT}), ty AS (SELECT id, CASE WHEN document_type IN (SELECT document_type FROM req) THEN document_type ELSE 'Generic Document' END AS t FROM records),
+p AS (SELECT kv.id, kv.field, trim(kv.v) AS v, ty.t FROM kv JOIN ty ON ty.id = kv.id WHERE trim(kv.v) <> ''),
+f1 AS (SELECT id, field, CASE WHEN EXISTS (SELECT 1 FROM (SELECT * FROM req UNION ALL SELECT * FROM opt) a WHERE a.document_type = t AND a.field = p.field) THEN {_FORMAT} ELSE 'Passed' END AS status FROM p),
+f2 AS (SELECT ty.id, req.field, 'Failed' AS status FROM ty JOIN req ON req.document_type = ty.t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = ty.id AND p.field = req.field)),
+days AS (SELECT id, {_DAY.format("dob")} AS b, {_DAY.format("issue_date")} AS i FROM records),
+f3 AS (SELECT id, 'date' AS field, CASE WHEN i > DATE '{AS_OF}' OR i < b THEN 'Failed' WHEN b IS NOT NULL AND i IS NOT NULL THEN 'Passed' END AS status FROM days),
+cl AS (SELECT id, district, {_CLEAN.format("citizen_name")} AS a, {_CLEAN.format("father")} AS b, {_TALUK_SQL.format("taluk")} AS m FROM records),
+f4 AS (SELECT id, 'parent' AS field, CASE WHEN lower(a) = lower(b) AND length(a) > 2 THEN 'Warning' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'Passed' END AS status FROM cl),
+f5 AS (SELECT id, 'place' AS field, CASE WHEN m IS NULL OR district = '' THEN NULL WHEN lower(m) <> lower(trim(district)) THEN 'Warning' ELSE 'Passed' END AS status FROM cl),
+al AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4 UNION ALL SELECT * FROM f5),
+cons AS (SELECT id, count(*) FILTER (status = 'Failed') AS failed, count(*) FILTER (status = 'Warning') AS warnings, count(*) FILTER (status = 'Passed') AS passed FROM al GROUP BY id)"""
+
+
+@query(_CHECKED + " SELECT *, CASE WHEN failed > 0 THEN 'Failed' WHEN warnings > 0 THEN 'Warning' ELSE 'Passed' END AS status FROM cons")
+def consistency_report(r):
+    return dashboard.consistency(r, AS_OF)
+
+
+@query(_CHECKED + f""", f AS (SELECT id, document_type, nullif(trim(certificate_number), '') AS c, nullif(trim(aadhaar_number), '') AS a, nullif(trim(citizen_name), '') AS n, nullif(trim(district), '') AS v FROM records),
+g AS (SELECT id, (document_type IN ('Community Certificate', 'Income Certificate', 'Birth Certificate') AND (c IS NULL OR (NOT {_SHAPES.format('c')} AND (regexp_matches(c, {_q(_ODD)}) OR (c LIKE 'TN%' AND c NOT LIKE 'TN-%' AND length(c) > 4) OR length(c) < 6))))
+ OR (document_type = 'Aadhaar Card' OR a IS NOT NULL) AND (a IS NULL OR length(regexp_replace(a, '\\D', '', 'g')) <> 12) OR n IS NULL OR regexp_matches(n, '\\d') OR (v IS NOT NULL AND NOT {_KNOWN}) AS flagged FROM f)
+SELECT g.id, CASE WHEN flagged OR cons.failed > 0 THEN 'needs_review' ELSE 'auto_verified' END AS status FROM g JOIN cons ON cons.id = g.id""")
+def initial_status(r):
+    return dashboard.initial_status(r, AS_OF)
+
+
 # Quality --------------------------------------------------------------------------------------------------------------
 
 
@@ -542,6 +589,19 @@ def duplicate_ranking(r):
     return dedup.ranked(dedup.advanced(r.filter("id % 500 = 0"), r))
 
 
+@query(f""", k AS (SELECT id, sha256(coalesce(ocr_text, '')) AS h, nullif({_NID.format('aadhaar_number')}, '') AS a, nullif({_NID.format('certificate_number')}, '') AS c FROM records)
+SELECT id, CASE WHEN id <> min(id) OVER (PARTITION BY h) THEN 'file' WHEN (a IS NOT NULL AND count(*) OVER (PARTITION BY a) > 1) OR (c IS NOT NULL AND count(*) OVER (PARTITION BY c) > 1) THEN 'identifier' END AS blocked_by FROM k""")
+def dedup_decision(r):
+    return dedup.decision(r)
+
+
+@query("""SELECT id, 'Citizen Name' AS field, citizen_name AS v FROM records WHERE citizen_name <> '' UNION ALL SELECT id, 'Certificate Number', certificate_number FROM records WHERE certificate_number <> '' UNION ALL SELECT id, 'Aadhaar Number', aadhaar_number FROM records WHERE aadhaar_number <> ''
+ UNION ALL SELECT id, 'District', district FROM records WHERE district <> '' UNION ALL SELECT id, 'Date of Birth', dob FROM records WHERE dob <> '' UNION ALL SELECT id, 'Issue Date', issue_date FROM records WHERE issue_date <> ''
+ UNION ALL SELECT id, k, json_extract_string(extra_fields, '$."' || k || '"') FROM records, (VALUES ('Taluk'), ('Father / Guardian'), ('Annual Income')) t(k)""")
+def hydrated_fields(r):
+    return r.select("id", F.explode(corrections.hydrated()).alias("field", "v"))
+
+
 # Corrections ----------------------------------------------------------------------------------------------------------
 
 
