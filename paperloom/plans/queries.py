@@ -300,7 +300,7 @@ def _extracted(extractor: str):
     return lambda r: r.select("id", F.explode(extractors.extract(extractor, F.col("ocr_text"))).alias("field", "value"))
 
 
-for _key, _extractor in (("extract_income", "income_certificate"), ("extract_birth", "birth_certificate"), ("extract_community", "community_certificate"), ("extract_pan_card", "pan_card"), ("extract_dl_card", "driving_licence"), ("extract_generic", "generic")):
+for _key, _extractor in (("extract_income", "income_certificate"), ("extract_birth", "birth_certificate"), ("extract_community", "community_certificate"), ("extract_pan_card", "pan_card"), ("extract_dl_card", "driving_licence"), ("extract_aadhaar_card", "aadhaar"), ("extract_generic", "generic")):
     query(None, _key)(_extracted(_extractor))
 
 

@@ -11,6 +11,7 @@ CASES = {
     "community_certificate": ("COMMUNITY CERTIFICATE\nThis is to certify that Selvan Boopathy son of Thiru Gopal residing at Door No. 2 belongs to Kongu Vellalars Community, which is recognized as a Backward Class as per order\nDate: 09-12-2019", {"Citizen Name": "Boopathy", "Father / Guardian": "Gopal", "Community": "Kongu Vellalars (Backward Class)", "Issue Date": "09-12-2019"}),
     "pan_card": ("INCOME TAX DEPARTMENT\nRAVI KUMAR\nMOHAN RAJ\n12/03/1980\nABCDE1234F", {"Certificate Number": "ABCDE1234F", "PAN Number": "ABCDE1234F", "Date of Birth": "12-03-1980", "Citizen Name": "RAVI KUMAR", "Father / Guardian": "MOHAN RAJ"}),
     "driving_licence": ("DRIVING LICENCE\nDL No: TN38 20110012345\nName: Suresh B\nS/O: Mohan\nDOB: 01/01/1990\nDate of Issue: 02-03-2011\nValid Till: 01-03-2031\nDistrict: Erode", {"Certificate Number": "TN38 20110012345", "Driving Licence Number": "TN38 20110012345", "Citizen Name": "Suresh B", "Father / Guardian": "Mohan", "Date of Birth": "01-01-1990", "Issue Date": "02-03-2011", "Valid Till": "01-03-2031", "District": "Erode"}),
+    "aadhaar": ("  GOVERNMENT OF INDIA\n  Unique Identification Authority of India\nTo\nBoopathy\nS/O: Gopal, 2/208, Thalakarai,\nThandukarampalayam, Avinashi,\nDistrict: Tiruppur, PIN Code: 641655\nYour Aadhaar No. :\n3364 2270 6124\nVID : 9139 2849 7347 5468\nEnrolment No: 1234/56789/01234\nDOB: 28/9/2006\nMALE", {"VID": "9139 2849 7347 5468", "Aadhaar Number": "3364 2270 6124", "Enrolment Number": "1234/56789/01234", "Date of Birth": "28-09-2006", "Gender": "Male", "Citizen Name": "Boopathy", "Father / Guardian": "Gopal", "District": "Tiruppur", "PIN Code": "641655"}),
     "generic": ("STUDENT FORM\nName: Boopathy G\nRoll No: 24CSR044\nDOB: 28/09/2006", {"Citizen Name": "Boopathy G", "Roll Number": "24CSR044", "Date of Birth": "28-09-2006", "Issue Date": "28-09-2006"}),
 }
 
@@ -23,6 +24,18 @@ def test_fields(spark, extractor):
     assert got == {0: want, 1: {}, 2: {}, 3: {}}
 
 
+@pytest.mark.parametrize(
+    ("text", "name", "father"),
+    [
+        ("AkileshS D/O: Mohan Raj 12", "Akilesh S", "Mohan Raj"), ("Boopathy 9p pmn/DOB: 28/09/2006", None, None), ("Boopathy /DOB: 28/09/2006", "Boopathy", None), ("Ananya R\nxx 12\nDOB 01-02-2003", "Ananya R", None), ("Ananya R\n12\n13\nDOB 01-02-2003", None, None),
+        ("DOB is no proof of identity\nTo\nRavi K\nVellore Road\nW/O Ravi K,", "Ravi K", None), ("To S/O: Mani", None, "Mani"), ("Gapall\nDOB: 1/1/2001", "Gopal", None),
+    ],
+)
+def test_card_names(spark, text, name, father):
+    m = spark.createDataFrame([(text,)], "t string").select(ex.extract("aadhaar", F.col("t")).alias("m")).first().m
+    assert (m.get("Citizen Name"), m.get("Father / Guardian")) == (name, father)
+
+
 def test_close_district(spark):
     rows = spark.createDataFrame([("Ticuppur",), ("Salem",), ("Nowhere",), (None,)], "w string")
     got = rows.select("w", ex.close_district(F.col("w"), 0.7).alias("d")).collect()
