@@ -93,34 +93,76 @@ def required_presence(r: DataFrame) -> DataFrame:
     return x.select("id", "field", (F.coalesce(F.trim(F.try_element_at("m", F.col("field"))), F.lit("")) != "").alias("present"))
 
 
-def _infos() -> Column:
-    """What the rules on certificate, Aadhaar number, name and district say of a record."""
+STANDARD = ("Certificate Number", "certificate_number", "Aadhaar Number", "aadhaar_number", "Citizen Name", "citizen_name", "Applicant Name", "Name", "Child Name", "Father / Guardian", "Father's Name", "Father / Husband Name", "District", "district", "Date of Birth", "dob", "DOB", "Issue Date", "issue_date")
+
+
+def other_fields() -> Column:
+    """The fields of a record's JSON that have no rules of their own, without blank ones."""
+    return F.map_filter(extra(), lambda k, v: ~k.isin(*STANDARD) & (F.coalesce(v, F.lit("")) != ""))
+
+
+def _infos(close: Column | None = None) -> Column:
+    """What the rules say of a record's fields. Name and district always count; a father's name, dates and fields without rules where there are any."""
+    given = lambda c, rule: F.when(F.coalesce(F.trim(c), F.lit("")) != "", rule)
     cert = F.when(F.col("document_type").isin("Community Certificate", "Income Certificate", "Birth Certificate"), rules.verify_certificate(F.col("certificate_number")))
     aad = F.when((F.col("document_type") == "Aadhaar Card") | (F.coalesce(F.trim("aadhaar_number"), F.lit("")) != ""), rules.verify_aadhaar(F.col("aadhaar_number")))
-    return F.filter(F.array(cert, aad, rules.verify_name(F.col("citizen_name"), "Citizen Name"), rules.verify_district(F.col("district"))), lambda x: x.isNotNull())
+    father = F.coalesce(*[F.nullif(F.try_element_at(extra(), F.lit(k)), F.lit("")) for k in ("Father / Guardian", "Father's Name", "Father / Husband Name")])
+    fixed = F.array(cert, aad, rules.verify_name(F.col("citizen_name"), "Citizen Name"), given(father, rules.verify_name(father, "Father / Guardian")), rules.verify_district(F.col("district"), close), given(F.col("dob"), rules.verify_date(F.col("dob"))), given(F.col("issue_date"), rules.verify_date(F.col("issue_date"))))
+    others = F.coalesce(F.transform(F.map_values(other_fields()), rules.verify_other), F.array())
+    return F.filter(F.concat(fixed, others), lambda x: x.isNotNull())
 
 
-def verification_report(r: DataFrame) -> DataFrame:
-    """(id, flagged, fields, status) by the rules on certificate, Aadhaar number, name and district."""
-    x = r.select("id", "verification_status", _infos().alias("i"))
+def verification_report(r: DataFrame, close: Column | None = None) -> DataFrame:
+    """(id, flagged, fields, status) by the rules on all fields of a record."""
+    x = r.select("id", "verification_status", _infos(close).alias("i"))
     flagged = F.size(F.filter("i", lambda x: x["flagged"])).cast("long")
     return x.select("id", flagged.alias("flagged"), F.size("i").cast("long").alias("fields"), rules.overall_status(F.col("verification_status"), flagged).alias("status"))
 
 
-def scored(r: DataFrame) -> DataFrame:
+def verify_others(r: DataFrame) -> DataFrame:
+    """(id, field, flagged, confidence, reasons) of the fields without rules of their own."""
+    x = r.select("id", F.explode(other_fields()).alias("field", "v")).select("id", "field", rules.verify_other(F.col("v")).alias("x"))
+    return x.select("id", "field", F.col("x.flagged").alias("flagged"), F.col("x.confidence").alias("confidence"), F.col("x.reasons").alias("reasons"))
+
+
+def quality_report(r: DataFrame, measured: bool = True) -> DataFrame:
+    """A record's whole quality report; without its measurements only completeness counts."""
+    none = F.lit(None).cast("double")
+    missing = rules.missing_fields(F.col("document_type"), field_map())
+    x = scored(r if measured else r.withColumns(dict.fromkeys(("blur", "brightness", "skew", "ocr_confidence"), none)), missing.alias("missing"), "blur", "brightness", "skew")
+    said = rules.factors(F.col("missing"), F.col("blur"), F.col("brightness"), F.col("skew"), F.col("ocr"))
+    return x.select("id", F.col("score").alias("overall_score"), rules.category(F.col("score")).alias("category"), rules.recommendation(F.col("score"), F.col("missing"), F.col("image")).alias("recommendation"), F.col("image").alias("image_quality_score"), F.col("ocr").alias("ocr_confidence_score"), F.col("complete").alias("field_completeness_score"), F.array_join("missing", ", ").alias("missing_required_fields"), F.array_join(said, " ").alias("score_reduction_factors"))
+
+
+def quality_lookup(r: DataFrame) -> DataFrame:
+    """(id, overall_score): from the stored report if it has a score, else from completeness."""
+    stored = F.try_element_at(F.from_json("quality_report", "map<string,string>"), F.lit("overall_score")).try_cast("double")
+    x = r.select("id", stored.alias("s"), rules.completeness(F.col("document_type"), field_map())["score"].alias("c"))
+    return x.select("id", F.coalesce("s", "c").alias("overall_score"))
+
+
+def revalidate(r: DataFrame, as_of: str, close: Column | None = None) -> DataFrame:
+    """Consistency, verification and quality of records after edits, in one pass; nothing is stored."""
+    x = r.select("id", "verification_status", _statuses(r, as_of, close).alias("s"), _infos(close).alias("i"), rules.completeness(F.col("document_type"), field_map())["score"].alias("q"))
+    flagged = F.size(F.filter("i", lambda v: v["flagged"]))
+    consistent = F.when(F.array_contains("s", "Failed"), "Failed").when(F.array_contains("s", "Warning"), "Warning").otherwise("Passed")
+    return x.select("id", consistent.alias("consistency"), rules.overall_status(F.col("verification_status"), flagged).alias("verification"), F.col("q").alias("quality"))
+
+
+def scored(r: DataFrame, *more) -> DataFrame:
     """Records with their completeness, image, recognition and overall scores; no image measurements, no image score."""
     measured = F.col("blur").isNotNull() | F.col("brightness").isNotNull() | F.col("skew").isNotNull()
-    x = r.select("id", rules.completeness(F.col("document_type"), field_map())["score"].alias("complete"), F.when(measured, rules.image_score(F.col("blur"), F.col("brightness"), F.col("skew"))).alias("image"), rules.ocr_score(F.col("ocr_confidence")).alias("ocr"))
+    x = r.select("id", rules.completeness(F.col("document_type"), field_map())["score"].alias("complete"), F.when(measured, rules.image_score(F.col("blur"), F.col("brightness"), F.col("skew"))).alias("image"), rules.ocr_score(F.col("ocr_confidence")).alias("ocr"), *more)
     return x.withColumn("score", rules.overall_score(F.col("complete"), F.col("image"), F.col("ocr")))
 
 
-def _statuses(r: DataFrame, as_of: str) -> Column:
+def _statuses(r: DataFrame, as_of: str, close: Column | None = None) -> Column:
     """Status of each field and check of a record: required ones fail if blank, other than the type's own fields aren't checked."""
     by_type = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     of = lambda d: F.coalesce(F.try_element_at(by_type(d), F.col("document_type")), F.try_element_at(by_type(d), F.lit("Generic Document")))
     required, known = of(vocab.REQUIRED), F.array_union(of(vocab.REQUIRED), of(vocab.OPTIONAL))
     given = F.map_filter(field_map(), lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")
-    present = F.transform(F.map_entries(given), lambda e: F.when(F.array_contains(known, e["key"]), rules.field_format(e["key"], e["value"])).otherwise("Passed"))
+    present = F.transform(F.map_entries(given), lambda e: F.when(F.array_contains(known, e["key"]), rules.field_format(e["key"], e["value"], close)).otherwise("Passed"))
     missing = F.transform(F.array_except(required, F.map_keys(given)), lambda _: F.lit("Failed"))
     a, b, m = clean_name(F.col("citizen_name")), clean_name(F.col("father")), taluk_district(F.col("taluk"))
     parent = F.when((F.lower(a) == F.lower(b)) & (F.length(a) > 2), "Warning").when(a.isNotNull() & b.isNotNull(), "Passed")
@@ -129,9 +171,9 @@ def _statuses(r: DataFrame, as_of: str) -> Column:
     return F.array_compact(F.concat(present, missing, checks))
 
 
-def consistency(r: DataFrame, as_of: str) -> DataFrame:
-    """(id, failed, warnings, passed, status) over a record's fields and checks; conflicts with other records are apart (historical_conflict)."""
-    x = r.select("id", _statuses(r, as_of).alias("s"))
+def consistency(r: DataFrame, as_of: str, close: Column | None = None) -> DataFrame:
+    """(id, failed, warnings, passed, status) over a record's fields and checks; conflicts with other records are apart (historical_conflict). `close`: the district closest to the record's by spelling, which then passes."""
+    x = r.select("id", _statuses(r, as_of, close).alias("s"))
     n = lambda what: F.size(F.filter("s", lambda v: v == what)).cast("long")
     x = x.select("id", n("Failed").alias("failed"), n("Warning").alias("warnings"), n("Passed").alias("passed"))
     return x.withColumn("status", F.when(F.col("failed") > 0, "Failed").when(F.col("warnings") > 0, "Warning").otherwise("Passed"))

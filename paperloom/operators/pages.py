@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import some
+
 # Words that certificate pages have.
-RICH_WORDS = "certificate government revenue district taluk income community birth name date".split()
+RICH_WORDS = ("certificate", "certify", "income", "community", "birth", "death", "aadhaar", "unique identification", "pan card", "driving licence", "license", "son of", "daughter of", "wife of", "residing", "resident", "tahsildar", "government", "revenue", "department")
 
 
 def may_ingest(path: Column, size: Column, limit: int = 16 * 1024 * 1024) -> Column:
@@ -25,12 +27,14 @@ def merge(pages: DataFrame) -> DataFrame:
 
     Embedded text of 150 characters or more with two or more words that
     certificates have is taken as it is, at 0.95; other pages take the scan's
-    text, with the embedded text behind it unless it is part of it.
+    text, with the embedded text behind it unless it is part of it. Pages
+    without any text add nothing.
     """
-    rich = (F.length("embedded") >= 150) & (F.size(F.filter(F.array(*map(F.lit, RICH_WORDS)), lambda w: F.contains(F.lower("embedded"), w))) >= 2)
-    both = F.when(F.coalesce("embedded", F.lit("")).isin("") | F.contains("ocr", F.col("embedded")), F.col("ocr")).otherwise(F.concat_ws("\n", "ocr", "embedded"))
-    one = pages.select("id", "page", F.when(rich, F.col("embedded")).otherwise(both).alias("t"), F.when(rich, 0.95).otherwise(F.col("conf")).alias("c"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"])
+    embedded, ocr = some(F.col("embedded")), F.nullif("ocr", F.lit(""))
+    rich = F.coalesce((F.length(embedded) >= 150) & (F.size(F.filter(F.array(*map(F.lit, RICH_WORDS)), lambda w: F.contains(F.lower(embedded), w))) >= 2), F.lit(False))
+    both = F.when(embedded.isNull() | F.contains(ocr, embedded), ocr).otherwise(F.concat_ws("\n", ocr, embedded))
+    one = pages.select("id", "page", F.when(rich, embedded).otherwise(both).alias("t"), F.when(rich, 0.95).otherwise(F.col("conf")).alias("c"))
+    texts = F.transform(F.array_sort(F.filter(F.collect_list(F.struct("page", "t")), lambda x: x["t"].isNotNull())), lambda x: x["t"])
     return one.groupBy("id").agg(F.array_join(texts, "\n\n").alias("text"), F.round(F.coalesce(F.avg("c"), F.lit(0.9)), 6).alias("confidence"), F.count("*").alias("pages"))
 
 

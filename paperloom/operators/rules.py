@@ -81,6 +81,13 @@ def verify_date(c: Column) -> Column:
     return F.when(v.isNull(), _fixed(False, 0.50, "")).when(F.size(parts) != 3, shape).when(bad, _info([F.lit("Date contains non-numeric characters")], [F.lit(0.50)], 0.95, v)).otherwise(good)
 
 
+def verify_other(c: Column) -> Column:
+    """A field without rules of its own."""
+    v = some(c)
+    odd = v.rlike(vocab.SUSPICIOUS)
+    return F.when(v.isNotNull(), _info([F.when(odd, F.lit("Uncertain OCR characters detected"))], [F.when(odd, 0.60)], 0.95, v))
+
+
 def overall_status(current: Column, flagged: Column) -> Column:
     return F.when(current == "manually_verified", current).when(flagged > 0, "needs_review").otherwise("auto_verified")
 
@@ -150,3 +157,33 @@ def overall_score(complete: Column, image: Column, ocr: Column, weights: dict[st
 
 def category(score: Column) -> Column:
     return F.when(score >= 85, "Good quality and completeness").when(score >= 65, "Review recommended").otherwise("Manual review strongly recommended")
+
+
+def missing_fields(kind: Column, fields: Column) -> Column:
+    """The fields that a type requires and a map of fields lacks, in order."""
+    required = F.create_map(*[x for k, v in vocab.REQUIRED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    names = F.coalesce(F.try_element_at(required, kind), F.try_element_at(required, F.lit("Generic Document")))
+    return F.filter(names, lambda n: F.coalesce(blank(F.try_element_at(fields, n)), F.lit(True)))
+
+
+def factors(missing: Column, blur: Column, brightness: Column, skew: Column, ocr: Column) -> Column:
+    """What lowers a record's quality score: array of sentences."""
+    one, signed = lambda c: F.format_string("%.1f", c), lambda c: F.format_string("%+.1f", c)
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    tilt = F.abs(skew)
+    return F.array_compact(
+        F.array(
+            F.when(F.size(missing) > 0, said("Missing required fields: ", F.array_join(missing, ", "), ".")),
+            F.when(blur < 40, said("High image blur detected (variance: ", one(blur), " < 40).")).when(blur < 80, said("Moderate image softness/blur detected (variance: ", one(blur), ").")),
+            F.when(brightness < 60, said("Image is underexposed / too dark (mean: ", one(brightness), ").")).when(brightness > 200, said("Image is overexposed / washed out (mean: ", one(brightness), ").")).when((brightness < 85) | (brightness > 180), "Image brightness is sub-optimal."),
+            F.when(tilt > 5, said("Significant page rotation / tilt detected (", signed(skew), "°).")).when(tilt > 1.5, said("Minor page skew detected (", signed(skew), "°).")),
+            F.when(ocr < 70, said("OCR recognition confidence is low (", one(ocr), "%).")),
+        )
+    )
+
+
+def recommendation(score: Column, missing: Column, image: Column) -> Column:
+    lacks, names = F.size(missing) > 0, F.array_join(missing, ", ")
+    middle = F.when(lacks, F.concat(F.lit("Review and supply missing field(s): "), names, F.lit("."))).when(image < 65, "Review document image; upload a clearer scan if fine details are illegible.").otherwise("Review highlighted fields before final approval.")
+    low = F.when(lacks & (image < 50), "Critical fields are missing and image is degraded. Re-scan or manually input values.").when(lacks, F.concat(F.lit("Critical fields missing ("), names, F.lit("). Human correction required."))).otherwise("Low extraction confidence. Verify all fields against original document.")
+    return F.when(score >= 85, "Document details are clear and extraction is complete. Ready for verification.").when(score >= 65, middle).otherwise(low)
