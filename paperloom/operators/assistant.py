@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ QUESTION_TYPES = {
 }
 QUESTION_DISTRICTS = "Ariyalur Chengalpattu Chennai Coimbatore Cuddalore Dharmapuri Dindigul Erode Kallakurichi Kanchipuram Kanyakumari Karur Krishnagiri Madurai Mayiladuthurai Nagapattinam Namakkal Nilgiris Perambalur Pudukkottai Ramanathapuram Ranipet Salem Sivagangai Tenkasi Thanjavur Theni Thoothukudi Tiruchirappalli Trichy Tirunelveli Tirupathur Tiruppur Tiruvallur Tiruvannamalai Tiruvarur Vellore Viluppuram Virudhunagar".split()
 COMMANDS = set("search show find list get how what check tell view income birth community aadhaar student permission form certificate card records documents document record all roll number date year district".split())
+NO_QUESTION = "Please type a question or choose a prompt to search government records."
 SUGGESTIONS = ["Show all income certificates", "Find records from Tiruppur", "How many documents are digitized?", "Check prevented duplicates"]
 
 
@@ -64,6 +66,16 @@ def entities(question: str) -> dict[str, str]:
     return out
 
 
+def entities_of(questions: Column) -> Column:
+    """`entities` on a column of questions: map from kind to value; nulls have none."""
+
+    @F.pandas_udf("map<string,string>")
+    def find(q: pd.Series) -> pd.Series:
+        return q.map(lambda x: entities(x) if isinstance(x, str) else {})
+
+    return find(questions)
+
+
 def _like(column: str, term: str) -> Column:
     # % and _ of a term are wildcards, as in the store's own LIKE; the escape sign occurs in no term
     return F.ilike(F.col(column), F.lit(f"%{term}%"), F.lit("\x01"))
@@ -139,3 +151,13 @@ def answer(question: str, found: dict[str, str], n: int, rows: list[dict]) -> st
         return f"Found 1 {r.get('document_type') or 'Document'} for {r.get('citizen_name') or 'Citizen'} in {r.get('district') or 'Tamil Nadu'} (Certificate/ID: {r.get('certificate_number') or 'N/A'}{' issued on ' + r['issue_date'] if r.get('issue_date') else ''})"
     kinds = sorted({r.get("document_type") or "Document" for r in rows})
     return f"Found {n} matching records ({', '.join(kinds[:2])}). You can inspect any record using the cards below."
+
+
+def respond(question: str | None, records: DataFrame, log: DataFrame) -> str:
+    """The sentence that answers a question; at most 15 rows reach the driver."""
+    if not (question or "").strip():
+        return NO_QUESTION
+    out = ask(question, records, log)
+    rows = [r.asDict() for r in out.collect()]
+    n = rows[0]["n"] if intent(question).startswith("count") else len(rows)
+    return answer(question, entities(question), n, rows)

@@ -705,3 +705,38 @@ def sql_guard(r):
     return r.select("id", assistant.is_safe(s).alias("safe"))
 
 
+_QUESTIONS = ", qs AS (SELECT id, document_type, district, certificate_number, CASE CAST(id % 3 AS INT) WHEN 0 THEN 'Show ' || lower(document_type) || ' records in ' || district WHEN 1 THEN 'find ' || coalesce(certificate_number, 'nothing') || ' please' ELSE 'records of ' || CAST(2000 + id % 100 AS VARCHAR(4)) END AS question FROM records)"
+
+
+@query(_QUESTIONS + f""" SELECT id, 'document_type' AS entity, document_type AS v FROM qs WHERE id % 3 = 0 UNION ALL SELECT id, 'district', district FROM qs WHERE id % 3 = 0 AND district IN ({",".join(map(_q, assistant.QUESTION_DISTRICTS))})
+ UNION ALL SELECT id, 'name', 'permission form' FROM qs WHERE id % 3 = 0 AND document_type = 'Student Permission Form' UNION ALL SELECT id, 'certificate_number', regexp_extract(certificate_number, '^TN-[0-9]+') FROM qs WHERE id % 3 = 1 AND certificate_number LIKE 'TN-%' UNION ALL SELECT id, 'year', CAST(2000 + id % 100 AS VARCHAR) FROM qs WHERE id % 3 = 2""")
+def nl_entities(r):
+    show = F.concat(F.lit("Show "), F.lower("document_type"), F.lit(" records in "), "district")
+    find = F.concat(F.lit("find "), F.coalesce("certificate_number", F.lit("nothing")), F.lit(" please"))
+    asked = r.select("id", F.when(F.col("id") % 3 == 0, show).when(F.col("id") % 3 == 1, find).otherwise(F.concat(F.lit("records of "), (2000 + F.col("id") % 100).cast("string"))).alias("question"))
+    return asked.select("id", F.explode(assistant.entities_of(F.col("question"))).alias("entity", "v"))
+
+
+_ASKED = ["How many birth certificates are there?", "How many records from Salem?", "How many documents are digitized?", "How many duplicates were blocked?", "Find records in Atlantis"]
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = store.corpus(spark, sf_dir)
+    return spark.createDataFrame([(q, assistant.respond(q, r, store.duplicate_log(r))) for q in _ASKED], "question string, answer string")
+
+
+QUERIES["nl_answer"] = _answers
+ORACLES["nl_answer"] = RECORDS + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT {_q(q)} AS question, {a} AS answer"
+    for q, a in zip(
+        _ASKED,
+        [
+            "'Found ' || (SELECT count(*) FROM records WHERE document_type = 'Birth Certificate') || ' registered Birth Certificate(s) in the database.'",
+            "'Found ' || (SELECT count(*) FROM records WHERE lower(district) LIKE '%salem%') || ' digitized record(s) from Salem district.'",
+            "'There are currently ' || (SELECT count(*) FROM records) || ' digitized government document record(s) in the platform.'",
+            "'The deduplication engine has prevented ' || (SELECT count(*) FROM records WHERE id % 10 = 0) || ' duplicate document upload attempt(s) so far.'",
+            "'No digitized records found. Try searching by a different name, district, or certificate number.'",
+        ],
+        strict=True,
+    )
+) + ")"
