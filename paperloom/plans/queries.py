@@ -62,10 +62,10 @@ def doc_detail(r):
     return dashboard.detail(store.conform(r), 7)
 
 
-@query(""", n AS (SELECT *, (SELECT max(id) FROM records) + row_number() OVER (ORDER BY id) AS new_id FROM records WHERE id % 500 = 0)
+@query(""", n AS (SELECT *, (SELECT max(id) FROM records) + row_number() OVER (ORDER BY id) AS new_id FROM records)
 SELECT new_id AS id, document_type, citizen_name, verification_status FROM n""")
 def ingest_batch(r):
-    return store.with_new_ids(r.filter("id % 500 = 0"), r).select("id", "document_type", "citizen_name", "verification_status")
+    return store.with_new_ids(r, r).select("id", "document_type", "citizen_name", "verification_status")
 
 
 _LOG = ", log AS (SELECT id, 'upload_' || id || '.png' AS filename, 'A record with the same certificate number already exists.' AS reason, substr(upload_date, 1, 10) || ' 00:00:00' AS detected_at FROM records WHERE id % 10 = 0)"
@@ -604,6 +604,9 @@ def identifier_duplicates(r):
     return dedup.by_identifier(r, r)
 
 
+_LCS = "200.0::DOUBLE * list_reduce(list_transform(string_split(x, ''), lambda c: [c]), lambda acc, ch: list_reduce(list_transform(range(len(y)), lambda j: [j]), lambda r, j: list_append(r, CASE WHEN y[j[1] + 1] = ch[1] THEN acc[j[1] + 1] + 1 ELSE greatest(acc[j[1] + 2], r[-1]) END), [0]), list_transform(range(len(y) + 1), lambda z: 0))[-1] / (length(x) + length(y))"
+
+
 @query(None)
 def token_sort_ratio(r):
     names = r.select(tx.normalize_name(F.col("citizen_name")).alias("name")).distinct()
@@ -613,23 +616,36 @@ def token_sort_ratio(r):
 
 
 ORACLES["token_sort_ratio"] = RECORDS + f""", n AS (SELECT DISTINCT {_NNAME.format('citizen_name')} AS name FROM records), p AS (SELECT a.name, b.name AS other, array_to_string(list_sort(string_split(a.name, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b.name, ' ')), ' ') AS y FROM n a JOIN n b ON split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) WHERE a.name <> '' AND b.name <> '')
-SELECT name, other, round(200.0::DOUBLE * list_reduce(list_transform(string_split(x, ''), lambda c: [c]), lambda acc, ch: list_reduce(list_transform(range(len(y)), lambda j: [j]), lambda r, j: list_append(r, CASE WHEN y[j[1] + 1] = ch[1] THEN acc[j[1] + 1] + 1 ELSE greatest(acc[j[1] + 2], r[-1]) END), [0]), list_transform(range(len(y) + 1), lambda z: 0))[-1] / (length(x) + length(y)), 6) AS sim FROM p"""
+SELECT name, other, round({_LCS}, 6) AS sim FROM p"""
 
 
-@query(None)
+_ADV = f""", k AS (SELECT id, {_NID.format('certificate_number')} AS c, {_NID.format('aadhaar_number')} AS a, {_NNAME.format('citizen_name')} AS n, {_NDATE.format("coalesce(nullif(issue_date, ''), dob)")} AS d, lower(trim(coalesce(district, ''))) AS p FROM records), cand AS (SELECT * FROM k WHERE id % 20 = 0),
+names AS (SELECT x.n AS n1, y.n AS n2, array_to_string(list_sort(string_split(x.n, ' ')), ' ') AS x, array_to_string(list_sort(string_split(y.n, ' ')), ' ') AS y FROM (SELECT DISTINCT n FROM cand WHERE length(n) >= 3) x, (SELECT DISTINCT n FROM k WHERE length(n) >= 3) y WHERE least(length(x.n), length(y.n)) * 200 >= (length(x.n) + length(y.n)) * 85),
+sims AS (SELECT n1, n2, {_LCS} AS sim FROM names),
+ex AS (SELECT x.id, y.id AS record_id FROM cand x JOIN k y ON x.c = y.c AND x.id <> y.id WHERE x.c <> '' UNION SELECT x.id, y.id FROM cand x JOIN k y ON x.a = y.a AND x.id <> y.id WHERE x.a <> ''),
+fz AS (SELECT x.id, y.id AS record_id, sim, (x.d <> '' AND x.d = y.d) AS sd, (x.p <> '' AND x.p = y.p) AS sp FROM cand x JOIN sims ON sims.n1 = x.n AND sim >= 85 JOIN k y ON y.n = sims.n2 AND y.id <> x.id),
+m AS (SELECT id, record_id, 'Exact Match' AS match_type, 100.0::DOUBLE AS score FROM ex UNION ALL SELECT id, record_id, 'Possible Duplicate', round((CASE WHEN sp THEN least(100.0::DOUBLE, CASE WHEN sd THEN greatest(sim, 95.0::DOUBLE) ELSE sim END + 5) WHEN sd THEN greatest(sim, 95.0::DOUBLE) ELSE sim END)::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE FROM fz
+ WHERE (sd OR (sp AND sim >= 90) OR sim >= 95) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.id = fz.id AND ex.record_id = fz.record_id))"""
+
+
+def _searched(r: DataFrame) -> DataFrame:
+    """The stated query set: records whose id is divisible by 20, against all records."""
+    return r.filter("id % 20 = 0")
+
+
+@query(_ADV + " SELECT * FROM m")
 def advanced_duplicates(r):
-    return dedup.advanced(r.filter("id % 500 = 0"), r)
+    return dedup.advanced(_searched(r), r)
 
 
-@query(None)
+@query(_ADV + ", s AS (SELECT id, count(*) AS matches, count(*) FILTER (match_type = 'Exact Match') AS exact FROM m GROUP BY id) SELECT cand.id, coalesce(matches, 0) AS matches, coalesce(exact, 0) AS exact, CASE WHEN exact > 0 THEN 'Exact Match' WHEN matches > 0 THEN 'Possible Duplicate' ELSE 'No Likely Duplicate Found' END AS status FROM cand LEFT JOIN s ON s.id = cand.id")
 def duplicate_status(r):
-    c = r.filter("id % 500 = 0")
-    return dedup.status(c, dedup.advanced(c, r))
+    return dedup.status(_searched(r), dedup.advanced(_searched(r), r))
 
 
-@query(None)
+@query(_ADV + " SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, record_id DESC) AS rank FROM m")
 def duplicate_ranking(r):
-    return dedup.ranked(dedup.advanced(r.filter("id % 500 = 0"), r))
+    return dedup.ranked(dedup.advanced(_searched(r), r))
 
 
 @query(f""", k AS (SELECT id, sha256(coalesce(ocr_text, '')) AS h, nullif({_NID.format('aadhaar_number')}, '') AS a, nullif({_NID.format('certificate_number')}, '') AS c FROM records)

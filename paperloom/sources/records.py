@@ -87,9 +87,20 @@ def uploads(spark: SparkSession, folder: str, limit: int = 16 * 1024 * 1024) ->
     return files.filter(F.lower("path").rlike(r"\.(png|jpg|jpeg|pdf)$") & (F.col("length") <= limit)).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def with_new_ids(new: DataFrame, store: DataFrame) -> DataFrame:
-    """New records get the ids after the store's largest, in order of their own key `id`."""
+def with_new_ids(new: DataFrame, store: DataFrame, ranges: int = 4096) -> DataFrame:
+    """New records get the ids after the store's largest, in order of their own key `id`.
+
+    Records are numbered within ranges of equal width of their key; a range
+    begins after the records of those before it. No task sees more than a range.
+    """
     from pyspark.sql import Window
 
-    last = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    return new.crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.row_number().over(Window.orderBy("id"))).drop("last")
+    ends = new.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    last = store.agg(F.max("id").alias("last")).first()["last"] or 0
+    low, width = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // ranges))
+    rows = new.withColumn("_range", F.floor((F.col("id") - low) / width).cast("int"))
+    # one row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("id"))
+    return rows.join(F.broadcast(starts), "_range").withColumn("id", last + F.col("_start") + place).select(*new.columns)
