@@ -93,6 +93,11 @@ def required_presence(r: DataFrame) -> DataFrame:
     return x.select("id", "field", (F.coalesce(F.trim(F.try_element_at("m", F.col("field"))), F.lit("")) != "").alias("present"))
 
 
+def _with(r: DataFrame, close: Column | None) -> tuple[DataFrame, Column | None]:
+    """The closest districts as a column of their own: functions on arrays can't call Python."""
+    return (r, None) if close is None else (r.withColumn("_close", close), F.col("_close"))
+
+
 STANDARD = ("Certificate Number", "certificate_number", "Aadhaar Number", "aadhaar_number", "Citizen Name", "citizen_name", "Applicant Name", "Name", "Child Name", "Father / Guardian", "Father's Name", "Father / Husband Name", "District", "district", "Date of Birth", "dob", "DOB", "Issue Date", "issue_date")
 
 
@@ -114,6 +119,7 @@ def _infos(close: Column | None = None) -> Column:
 
 def verification_report(r: DataFrame, close: Column | None = None) -> DataFrame:
     """(id, flagged, fields, status) by the rules on all fields of a record."""
+    r, close = _with(r, close)
     x = r.select("id", "verification_status", _infos(close).alias("i"))
     flagged = F.size(F.filter("i", lambda x: x["flagged"])).cast("long")
     return x.select("id", flagged.alias("flagged"), F.size("i").cast("long").alias("fields"), rules.overall_status(F.col("verification_status"), flagged).alias("status"))
@@ -143,6 +149,7 @@ def quality_lookup(r: DataFrame) -> DataFrame:
 
 def revalidate(r: DataFrame, as_of: str, close: Column | None = None) -> DataFrame:
     """Consistency, verification and quality of records after edits, in one pass; nothing is stored."""
+    r, close = _with(r, close)
     x = r.select("id", "verification_status", _statuses(r, as_of, close).alias("s"), _infos(close).alias("i"), rules.completeness(F.col("document_type"), field_map())["score"].alias("q"))
     flagged = F.size(F.filter("i", lambda v: v["flagged"]))
     consistent = F.when(F.array_contains("s", "Failed"), "Failed").when(F.array_contains("s", "Warning"), "Warning").otherwise("Passed")
@@ -173,6 +180,7 @@ def _statuses(r: DataFrame, as_of: str, close: Column | None = None) -> Column:
 
 def consistency(r: DataFrame, as_of: str, close: Column | None = None) -> DataFrame:
     """(id, failed, warnings, passed, status) over a record's fields and checks; conflicts with other records are apart (historical_conflict). `close`: the district closest to the record's by spelling, which then passes."""
+    r, close = _with(r, close)
     x = r.select("id", _statuses(r, as_of, close).alias("s"))
     n = lambda what: F.size(F.filter("s", lambda v: v == what)).cast("long")
     x = x.select("id", n("Failed").alias("failed"), n("Warning").alias("warnings"), n("Passed").alias("passed"))

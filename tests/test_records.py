@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from paperloom.functions import extractors
 from paperloom.functions import text as tx
 from paperloom.operators import assistant, corrections, dashboard, dedup, pages, rules
 from paperloom.plans.queries import ORACLES, QUERIES
@@ -96,6 +97,34 @@ def test_verification_rules(spark):
     assert at(rules.overall_status(F.lit("manually_verified"), F.lit(3))) == "manually_verified"
 
 
+def test_close_districts_pass(spark):
+    rows = [(1, "Tiruppux"), (2, "Nowhere"), (3, None), (4, "salem")]
+    r = store.conform(spark.createDataFrame(rows, "id long, district string")).withColumns({"document_type": F.lit("Generic Document"), **{c: F.lit(None).cast("string") for c in ("father", "taluk", "annual_income")}})
+    close = extractors.close_district(F.initcap("district"), 0.7)
+    got = {x.id: x.warnings for x in dashboard.consistency(r, "1998-06-01", close).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+    near = {x.id: x.consistency for x in dashboard.revalidate(r, "1998-06-01", close).collect()}
+    assert set(near.values()) == {"Failed"}  # the name is required
+    assert {x.id: x.flagged for x in dashboard.verification_report(r, close).collect()} == {1: 2, 2: 2, 3: 1, 4: 1}
+    x = spark.createDataFrame(rows, "id long, district string").select("id", rules.verify_district(F.col("district"), close).alias("x")).collect()
+    assert {v.id: (v.x.flagged, v.x.confidence, v.x.suggestion) for v in x} == {1: (True, 0.7, "Tiruppur"), 2: (True, 0.5, None), 3: (False, 0.5, None), 4: (False, 0.95, None)}
+
+
+def test_new_ids_follow_in_order(spark):
+    new = spark.createDataFrame([(k,) for k in (5, 1, 900000, 7, 6)], "id long").withColumn("was", F.col("id"))
+    old = spark.createDataFrame([(40,), (2,)], "id long")
+    got = {x.was: x.id for x in store.with_new_ids(new, old, 3).collect()}
+    assert got == {1: 41, 5: 42, 6: 43, 7: 44, 900000: 45}
+    assert store.with_new_ids(new.limit(0), old).count() == 0 and store.with_new_ids(new, old.limit(0)).agg(F.max("id")).first()[0] == 5
+
+
+def test_pages_without_text(spark):
+    long = "Revenue certificate " + "x" * 150
+    rows = [(1, 1, " ", "a b", 0.5), (1, 2, long, "z", 0.1), (1, 3, None, None, None), (2, 1, "b", "a b", 0.4), (3, 1, "c", "", 0.4), (4, 1, None, "", None)]
+    got = {x.id: (x.text, x.confidence) for x in pages.merge(spark.createDataFrame(rows, "id long, page int, embedded string, ocr string, conf double")).collect()}
+    assert got == {1: ("a b\n\n" + long, 0.725), 2: ("a b", 0.4), 3: ("c", 0.4), 4: ("", 0.9)}
+
+
 def test_advanced_duplicates_equal_all_pairs(spark):
     r = store.corpus(spark, SF)
     c = r.filter("id % 300 = 0")
