@@ -13,17 +13,22 @@ everything else works on class representatives (the smallest id).
   parts are linked along the order; what is still large at full depth (the
   labels are equal) is linked along the order and to its first member. So each
   member makes a bounded number of candidates in each order. Members of larger
-  regions are noted.
+  regions are noted, as are those of a partition's first and last region, which
+  may go on in the next partition.
 * A bit of each value travels along as a sketch; pairs whose sketches agree on
   less than MIN_AGREE of the bits (about four deviations below what the
   threshold gives) are not candidates.
-* Links are confirmed on the full shingle sets, in two rounds: first the two
-  best candidates of each representative; then all candidates whose ends are
-  still in different components, and for the members of larger regions also
-  their NEAREST members of other components by sketch, in each region of up to
-  WIDE members (wider ones by the next value, or along the order). A candidate
-  inside a component would add no reachability, so large groups are confirmed by
-  a number of pairs that grows with their size, not its square.
+* Links are confirmed on the full shingle sets, in rounds: first the two best
+  candidates of each representative; then all candidates whose ends are still in
+  different components, and for the noted members also their NEAREST members of
+  other components by sketch, in each region of up to WIDE members (wider ones
+  by the next value, or along the order), up to TURNS times while that finds
+  links. These rounds only save work for the last one, which has no such bounds:
+  all pairs of noted members that share a region anywhere and are still in
+  different components (`_cells`). A candidate inside a component would add no
+  reachability, so large linked groups are confirmed by a number of pairs that
+  grows with their size; one of n texts that look alike and aren't linked takes
+  the square of n.
 * Components by large-star/small-star on tables (`components`).
 
 With a similarity of 0.75 two texts share a prefix of SHALLOW values in a given
@@ -53,7 +58,9 @@ from .shingles import N, common, normalised, shingle_hashes
 
 TREES, SHALLOW, DEPTH = 32, 4, 8
 VALUES = TREES * SHALLOW
-SMALL, WIDE, NEAREST = 6, 2048, 8
+SMALL, WIDE, NEAREST, TURNS = 6, 2048, 8, 3
+#: Members on either side of a cell in the last round.
+CELL = 1024
 MIN_AGREE = 93  # of 128 sketch bits; expected are 112 at 0.75, 64 for unlike texts
 #: Shingles hashed at a time, so that they stay in a core's cache.
 BLOCK = 1 << 14
@@ -171,13 +178,14 @@ def foreign_pairs(labels: np.ndarray, sketch: np.ndarray, component: np.ndarray,
 def _candidates(foreign: bool):
     """From leaves in order to candidate pairs. A batch's last region is carried over to the next; one that fills several batches is paired as far as it has come and goes on from its last leaves."""
 
-    def pairs(label: np.ndarray, ids: np.ndarray, sketch: np.ndarray, component: np.ndarray) -> pa.RecordBatch | None:
+    def pairs(label: np.ndarray, ids: np.ndarray, sketch: np.ndarray, component: np.ndarray, first: bool = False, last: bool = False) -> pa.RecordBatch | None:
         prefix = label[:, : 1 + 2 * SHALLOW]
         new = np.flatnonzero((prefix[1:] != prefix[:-1]).any(axis=1)) + 1
         edges = np.concatenate(([0], new, [len(label)]))
         left: list[int] = []
         right: list[int] = []
-        dense: list[int] = []
+        # the regions at a partition's ends may have members in other partitions
+        dense: list[int] = [] if foreign else [*range(int(edges[1]) if first else 0), *range(int(edges[-2]) if last else len(label), len(label))]
         for k in np.flatnonzero(np.diff(edges) > 1).tolist():
             lo, hi = int(edges[k]), int(edges[k + 1])
             if hi - lo == 2:
@@ -202,6 +210,7 @@ def _candidates(foreign: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[np.ndarray, ...] | None = None
+        first = True
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -214,19 +223,54 @@ def _candidates(foreign: bool):
             prefix = now[0][:, : 1 + 2 * SHALLOW]
             open_at = int(np.argmax((prefix == prefix[-1]).all(axis=1)))
             if open_at == 0 and len(prefix) > 4 * n:
-                if (found := pairs(*now)) is not None:
+                if (found := pairs(*now, first=first)) is not None:
                     yield found
                 kept = tuple(x[-n:] for x in now)
                 continue
-            if open_at and (found := pairs(*(x[:open_at] for x in now))) is not None:
-                yield found
+            if open_at:
+                if (found := pairs(*(x[:open_at] for x in now), first=first)) is not None:
+                    yield found
+                first = False
             kept = tuple(x[open_at:] for x in now)
-        if kept is not None and (found := pairs(*kept)) is not None:
+        if kept is not None and (found := pairs(*kept, first=first, last=True)) is not None:
             yield found
 
     return run
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a left and a right member of different components in each cell; rows come cell by cell."""
+
+    def pairs(left: np.ndarray, ids: np.ndarray, sketch: np.ndarray, component: np.ndarray, few: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        for lo in range(0, len(x), 64):
+            for at in range(0, len(y), CELL):
+                i, j = x[lo : lo + 64, None], y[None, at : at + CELL]
+                agree = 128 - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=2, dtype=np.int64)
+                # two members outside the commonest component meet in both roles
+                r, c = np.nonzero((agree >= MIN_AGREE) & (component[i] != component[j]) & ((ids[i] < ids[j]) | (~few[j] & (ids[i] != ids[j]))))
+                if len(r):
+                    a, b = ids[i[r, 0]], ids[j[0, c]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    kept: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cell, sketch = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in (0, 3))
+        left, ids, component, few = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4, 5))
+        now = (cell, left.astype(bool), ids, sketch.view(np.uint64), component, few.astype(bool))
+        if kept is not None:
+            now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
+        edges = [0, *(1 + np.flatnonzero((now[0][1:] != now[0][:-1]).any(axis=1))).tolist()]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield from pairs(*(x[lo:hi] for x in now[1:]))
+        kept = tuple(x[edges[-1] :] for x in now)
+    if kept is not None:
+        yield from pairs(*kept[1:])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -268,6 +312,26 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
         ordered = leaves.repartitionByRange(parts, "label").sortWithinPartitions("label", "id")
         return ordered.mapInArrow(_candidates(foreign), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
+    def everywhere(members: DataFrame) -> DataFrame:
+        """All pairs of members of different components that share a region, whatever its size.
+
+        In a region each member outside its commonest component meets all
+        others, in cells of about CELL by CELL members, so that no region is
+        one task's work.
+        """
+        leaves = members.mapInArrow(_leaves, "label binary, id long, sketch binary, component long")
+        leaves = leaves.select(F.substring("label", 1, 1 + 2 * SHALLOW).alias("region"), "id", "sketch", "component")
+        most = leaves.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+        mixed = most.filter("n > most.n").select("region", F.col("most.component").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / CELL).cast("int").alias("rows"), F.ceil(F.col("n") / CELL).cast("int").alias("cols"))
+        x = leaves.join(mixed.hint("merge"), "region").withColumn("few", F.col("component") != F.col("most"))
+        place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        cells = lambda n, at: F.transform(F.sequence(F.lit(0), F.col(n) - 1), at)
+        cell = lambda i, j, left: F.struct(F.concat("region", F.unhex(F.lpad(F.hex(i), 8, "0")), F.unhex(F.lpad(F.hex(j), 8, "0"))).alias("cell"), F.lit(left).alias("left"))
+        right = cells("rows", lambda i: cell(i, place("cols"), False))
+        both = F.concat(right, cells("cols", lambda j: cell(place("rows"), j, True)))
+        x = x.select(F.explode(F.when(F.col("few"), both).otherwise(right)).alias("at"), "id", "sketch", "component", "few").select("at.cell", "at.left", "id", "sketch", "component", "few")
+        return x.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long").distinct()
+
     found_pairs = materialize(candidates(classes.select("rep", "sig", F.lit(0).cast("long")), False))
     pairs, dense = found_pairs.filter("a < b"), found_pairs.filter("a = b").select(F.col("a").alias("rep"))
 
@@ -289,15 +353,25 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     links = materialize(confirm(chosen))
     found = materialize(components(links))
 
-    known = found.select(F.col("node").alias("rep"), "component")
-    members = classes.join(dense, "rep", "left_semi").join(known, "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("component"))
-    rest = pairs.select("a", "b").union(candidates(members, True).filter("a < b").select("a", "b")).distinct().join(chosen, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(known.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = materialize(confirm(rest))
-    if not more.isEmpty():
-        found = materialize(components(links.union(more)))
+    tried, proposed, whole = chosen, pairs.select("a", "b"), False
+    for turn in range(TURNS + 1):
+        whole = whole or turn == TURNS
+        known = found.select(F.col("node").alias("rep"), "component")
+        members = classes.join(dense, "rep", "left_semi").join(known, "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("component"))
+        near = everywhere(members) if whole else candidates(members, True).filter("a < b").select("a", "b")
+        rest = proposed.union(near).distinct().join(tried, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(known.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        rest = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+        more = materialize(confirm(rest))
+        fresh = not more.isEmpty()
+        if fresh:
+            links = links.union(more)
+            found = materialize(components(links))
+        if whole:
+            break
+        # candidates in different components have all been tried now
+        tried, proposed, whole = tried.union(rest), rest.limit(0), not fresh
 
     of_class = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "key", "n_shingles").join(of_class, "key", "left")

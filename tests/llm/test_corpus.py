@@ -253,6 +253,29 @@ def test_near_dedup_of_a_large_group_and_a_table(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs).collect()} == brute_components(rows)
 
 
+@pytest.fixture(scope="module")
+def unlinked_family():
+    """169 texts with 13 changes each, no two at more than one place (0.73 to 0.744), but for planted pairs that have one changed word in common (0.753)."""
+    rows = []
+    for k in range(169):
+        slope, shift = divmod(k, 13)
+        w = [f"w{at}" for at in range(855)]
+        for group in range(13):
+            place = (slope * group + shift) % 13
+            # a text of odd slope meets one of the slope below at group 5; they share the word there
+            twin = group == 5 and slope < 12
+            w[5 * (13 * group + place) + 2] = f"x{slope // 2}t{place}" if twin else f"x{k}g{group}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_near_dedup_of_a_dense_family_without_links(spark, unlinked_family):
+    want = {k: c for k, (_, c) in brute_components(unlinked_family).items()}
+    assert len(want) - len(set(want.values())) == 78
+    docs = spark.createDataFrame(unlinked_family, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()} == want
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(2)
     chain = list(range(1000, 1120))
