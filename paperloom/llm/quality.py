@@ -56,7 +56,7 @@ def features(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     stop, exclaim, bar, comma = count[46], count[33], count[124], count[44]
     symbol = count[_OTHER].sum() - stop - exclaim - bar - comma
-    capitals = sum(map(bytes.istitle, words[:: max(1, n // 2000)])) / max(1, len(words[:: max(1, n // 2000)]))
+    capitals = sum(map(bytes.istitle, words)) / n
     root = np.sqrt
     return [
         np.log1p(n), np.log(ink / n), root(count[_UPPER].sum() / max(1, letters)), root(count[_DIGIT].sum() / ink), root(symbol / n), root(exclaim / n), root(bar / n), root(stop / n), root(comma / n), root(1 - letters / ink) if letters < ink else 0.0,

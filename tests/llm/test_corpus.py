@@ -298,6 +298,12 @@ def test_shingle_hashes_stand_for_shingles():
             assert h in got and seen.setdefault(h, s) == s
 
 
+def test_quality_features_are_of_all_words():
+    at = quality.FEATURES.index("capital_words")
+    assert quality.features("Name value " * 10_000)[at] == 0.5
+    assert quality.features("value " * 4_001 + "Name")[at] == 1 / 4_002
+
+
 # Scoring
 
 
