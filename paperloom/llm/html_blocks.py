@@ -15,7 +15,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAME = re.compile(r"""\b(class|id|role|aria-label|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: An attribute and its value; all are read, so that values and longer names aren't taken for names.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|"[^"]*"|'[^']*'""")
+_NAMED = frozenset("class id role aria-label style".split())
 #: Elements that a start tag ends when they are open: li ends li, and so on.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body table td th ul ol dl div section article main aside nav header footer form blockquote figure".split())
@@ -41,11 +43,15 @@ class _Open:
 def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     names: list[str] = []
     hidden = False
-    for m in _NAME.finditer(raw):
-        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+    for m in _ATTRIBUTE.finditer(raw):
+        key = (m[1] or "").lower()
         if key == "hidden":
             hidden = True
-        elif key == "style":
+            continue
+        if key not in _NAMED:
+            continue
+        value = html.unescape(m[2] or m[3] or m[4] or "")
+        if key == "style":
             hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         else:
             names += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())

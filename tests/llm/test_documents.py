@@ -12,6 +12,21 @@ from paperloom.llm import matroska as mk
 from paperloom.llm import pii, transcripts
 from paperloom.llm.html_blocks import blocks
 
+# Pages
+
+
+@pytest.mark.parametrize("attribute", ['aria-hidden="false"', 'data-state="hidden"', 'title="Hidden gems"', "title='a hidden b'", "data-hidden", 'alt = "hidden"', "x=hidden"])
+def test_only_the_attribute_hidden_hides(attribute):
+    (b,) = blocks(f'<div {attribute} class="post"><p>Some text</p></div>')
+    assert not b.hidden and b.names == ("post",)
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'HIDDEN=""', 'class="a" hidden="until-found"', "style='display: none'", 'title="x"hidden'])
+def test_hidden_elements(attribute):
+    (b,) = blocks(f"<div {attribute}><p>Some text</p></div>")
+    assert b.hidden
+
+
 # Matroska
 
 
