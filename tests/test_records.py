@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -125,6 +126,38 @@ def test_pages_without_text(spark):
     assert got == {1: ("a b\n\n" + long, 0.725), 2: ("a b", 0.4), 3: ("c", 0.4), 4: ("", 0.9)}
 
 
+def test_no_similar_long_names_are_lost(spark):
+    rng = random.Random(4)
+    names = {"balasubramaniam chandrasekaran k", "balasubramaniam chandrasekaran"}
+    for n in range(28, 46):
+        for _ in range(2):
+            words = ["".join(rng.choices("aeiklmnrst", k=rng.randint(4, 12))) for _ in range(6)]
+            name = " ".join(words)[:n].strip()
+            names.add(name)
+            for _ in range(5):
+                w = list(name)
+                for _ in range(rng.randint(1, 3)):
+                    at = rng.randrange(len(w))
+                    w[at : at + 1] = rng.choice([[], [w[at], "x"], ["o"]])
+                names.add(" ".join("".join(w).split()))
+    every = spark.createDataFrame([(x,) for x in sorted(names)], "name string")
+    a, b = every.select(F.col("name").alias("c_name")), every.select(F.col("name").alias("r_name"))
+
+    def sim(x, y):
+        x, y = (" ".join(sorted(t.split())) for t in (x, y))
+        left = full = (1 << len(x)) - 1
+        for ch in y:
+            hit = left & sum(1 << k for k, c in enumerate(x) if c == ch)
+            left = ((left + hit) | (left - hit)) & full
+        return 200 * (len(x) - left.bit_count()) / (len(x) + len(y))
+
+    want = {(x, y) for x in names for y in names if sim(x, y) >= 95}
+    got = {(x.c_name, x.r_name) for x in dedup.name_candidates(a, b).collect()}
+    assert want <= got and ("balasubramaniam chandrasekaran", "balasubramaniam chandrasekaran k") in want
+    assert len(got) < len(names) ** 2 / 10
+    assert sum((len(x) > 31) != (len(y) > 31) for x, y in want) > 20
+
+
 def test_advanced_duplicates_equal_all_pairs(spark):
     r = store.corpus(spark, SF)
     c = r.filter("id % 300 = 0")
