@@ -16,10 +16,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, an own one on a local master, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="paperloom-"))
     return _own_dir[0]
@@ -48,6 +50,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def told_apart(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """The rows, and the name of a column that no two of them share: the ids, or if some are null or repeated, a number in a written copy."""
+    key = F.col(f"`{id_col}`")
+    if docs.groupBy(key.alias("k")).agg(F.count("*").alias("n")).filter("k IS NULL OR n > 1").isEmpty():
+        return docs, id_col
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. lower() does that for texts of single bytes."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, told_apart
 
 SALTS = 16
 
@@ -68,9 +68,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that stay, all columns as they were. Repeated rows of one id stay once."""
-    kept = exact_dedup(docs, id_col, text_col, salts).filter("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of equal texts, that of the largest id, all columns as they were.
+
+    Of repeated rows one stays; a null id loses against others, but of a group
+    of null ids one row stays.
+    """
+    rows, row = told_apart(docs, id_col)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if row == id_col:
+        kept = exact_dedup(rows, id_col, text_col, salts).filter("kept").select(id_col)
+    else:
+        ranked = rows.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).alias("rank"), F.col(f"`{text_col}`").alias("text"))
+        kept = exact_dedup(ranked, "rank", "text", salts).filter("kept").select(F.col("rank.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*names)
 
 
 SQL = """
