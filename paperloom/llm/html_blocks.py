@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics object noscript canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math"
+#: Their content is no text of the page: code, drawings, other pages and what a form holds.
+RAW = "script|style|template|svg|iframe|textarea|select"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -23,21 +24,52 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = frozenset("html body table td th ul ol dl div section article main aside nav header footer form blockquote figure".split())
 
 
+@dataclass(eq=False, slots=True)
+class Node:
+    """An open element that isn't inline. Blocks share the chain of their ancestors, so a page takes memory in proportion to its length."""
+
+    tag: str
+    #: Words of its class, id and role attributes.
+    names: tuple[str, ...]
+    parent: Node | None
+    hidden: bool
+    #: For what a reader derives from the chain.
+    state: object = None
+
+
 @dataclass
 class Block:
     text: str
-    #: Tags from the root, and the words of their class, id and role attributes.
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    node: Node | None
     link_chars: int = 0
-    hidden: bool = False
 
+    @property
+    def chain(self) -> list[Node]:
+        """Ancestors from the root."""
+        out, node = [], self.node
+        while node is not None:
+            out.append(node)
+            node = node.parent
+        return out[::-1]
 
-@dataclass
+    @property
+    def tags(self) -> tuple[str, ...]:
+        return tuple(n.tag for n in self.chain)
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(x for n in self.chain for x in n.names)
+
+    @property
+    def hidden(self) -> bool:
+        return self.node is not None and self.node.hidden
+
+
+@dataclass(slots=True)
 class _Open:
     tag: str
-    names: tuple[str, ...] = ()
-    hidden: bool = field(default=False)
+    node: Node | None
+    hidden: bool = False
 
 
 def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
@@ -59,34 +91,44 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order: runs of text between starts and ends of block elements."""
+    """The page's blocks in order: runs of text between starts and ends of block elements. Hidden inline elements give no text."""
     out: list[Block] = []
     stack: list[_Open] = []
+    nodes: list[Node] = []
+    how_many: Counter[str] = Counter()
     parts: list[str] = []
-    linked = 0
+    linked = veiled = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                own = [o for o in stack if o.tag not in INLINE]
-                out.append(Block(text, tuple(o.tag for o in own), tuple(n for o in own for n in o.names), min(linked, len(text)), any(o.hidden for o in stack)))
+                out.append(Block(text, nodes[-1] if nodes else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def text(piece: str) -> None:
         nonlocal linked
-        parts.append(piece)
-        if any(o.tag == "a" for o in stack):
-            linked += len(piece.strip())
+        if not veiled:
+            parts.append(piece)
+            if how_many["a"]:
+                linked += len(piece.strip())
 
     def close(at: int) -> None:
-        if any(o.tag not in INLINE for o in stack[at:]):
+        nonlocal veiled
+        if any(o.node is not None for o in stack[at:]):
             flush()
+        for o in stack[at:]:
+            how_many[o.tag] -= 1
+            veiled -= o.hidden
+            if o.node is not None:
+                nodes.pop()
         del stack[at:]
 
     def last(names: frozenset[str] | set[str], stop: frozenset[str] = frozenset()) -> int:
+        if not any(how_many[t] for t in names):
+            return -1
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag in names:
                 return k
@@ -101,8 +143,8 @@ def blocks(page: str) -> list[Block]:
         end = m.end()
         tag = (m[3] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() not in ("math",):
-                parts.append(" ") if parts else None
+            if m[1] and parts:
+                parts.append(" ")
             continue
         if m[2]:
             if (k := last({tag}, _SCOPE - {tag} if tag in INLINE or tag == "p" else frozenset())) >= 0:
@@ -121,7 +163,15 @@ def blocks(page: str) -> list[Block]:
             if (k := last(_ENDS.get(tag, set()) | {"p"}, _SCOPE - _ENDS.get(tag, set()))) >= 0:
                 close(k)
         if tag not in VOID and not m[4].rstrip().endswith("/"):
-            stack.append(_Open(tag, *_attributes(m[4])) if m[4].strip() else _Open(tag))
+            names, hidden = _attributes(m[4]) if m[4].strip() else ((), False)
+            how_many[tag] += 1
+            if tag in INLINE:
+                stack.append(_Open(tag, None, hidden))
+                veiled += hidden
+            else:
+                parent = nodes[-1] if nodes else None
+                nodes.append(Node(tag, names, parent, hidden or parent is not None and parent.hidden))
+                stack.append(_Open(tag, nodes[-1]))
     if end < len(page):
         text(page[end:])
     flush()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Node, blocks
 
 TRAINING_PAGES, SEED, STEPS, RIDGE = 600, 11, 160, 1e-3
 TAGS = "article main section div p h1 h2 h3 h4 ul ol li nav header footer aside form table tr td th blockquote pre figure figcaption dl dt dd button title head fieldset legend details summary address center".split()
@@ -54,42 +54,62 @@ _AT = {f: i for i, f in enumerate(FEATURES)}
 _ASIDE = frozenset("aside nav footer form".split())
 
 
+@dataclass(slots=True)
+class _Chain:
+    """What a block's ancestors say: features, the nearest kind of name, whether an article is open, whether the head is."""
+
+    on: frozenset[int]
+    kind: str | None
+    article: bool
+    head: bool
+
+
+def _chain(node: Node | None) -> _Chain:
+    """Made from the parent's, once for each element."""
+    todo: list[Node] = []
+    while node is not None and node.state is None:
+        todo.append(node)
+        node = node.parent
+    c = _Chain(frozenset(), None, False, False) if node is None else node.state
+    for n in reversed(todo):
+        kinds = [_KIND[x] for x in n.names if x in _KIND]
+        on = {f"in_{n.tag}", *(f"name_{k}" for k in kinds)}
+        if c.article or n.tag == "article":
+            on.add("depth_in_article")
+            if n.tag in _ASIDE:
+                on.add("article_then_aside")
+        more = c.on | {_AT[f] for f in on if f in _AT}
+        n.state = c = _Chain(c.on if len(more) == len(c.on) else more, kinds[-1] if kinds else c.kind, c.article or n.tag == "article", c.head or n.tag in ("head", "title"))
+    return c
+
+
 def describe(page: list[Block]) -> np.ndarray:
     """A row of features for each block."""
     x = np.zeros((len(page), len(FEATURES)), np.float32)
     for i, b in enumerate(page):
-        row = x[i]
+        row, c = x[i], _chain(b.node)
         row[0] = 1
-        for t in b.tags:
-            if (k := _AT.get(f"in_{t}")) is not None:
-                row[k] = 1
-        if b.tags and (k := _AT.get(f"own_{b.tags[-1]}")) is not None:
+        row[list(c.on)] = 1
+        if b.node is not None and (k := _AT.get(f"own_{b.node.tag}")) is not None:
             row[k] = 1
-        kinds = [_KIND[n] for n in b.names if n in _KIND]
-        for k in kinds:
-            row[_AT[f"name_{k}"]] = 1
-        if kinds:
-            row[_AT[f"inner_{kinds[-1]}"]] = 1
-        if "article" in b.tags:
-            row[_AT["depth_in_article"]] = 1
-            if _ASIDE.intersection(b.tags[b.tags.index("article") :]):
-                row[_AT["article_then_aside"]] = 1
+        if c.kind:
+            row[_AT[f"inner_{c.kind}"]] = 1
         n = b.text.count(" ") + 1
         row[_AT["len_1" if n < 4 else "len_2" if n < 12 else "len_3" if n < 40 else "len_4"]] = 1
         share = b.link_chars / len(b.text)
         row[_AT["link_some"]], row[_AT["link_most"]] = share > 0.1, share > 0.6
         row[_AT["ends"]] = b.text[-1] in ".!?:\"'”»。"
         row[_AT["stops"]] = ". " in b.text or ", " in b.text
-        low = b.text[:200].lower()
+        low = b.text.lower()
         row[_AT["sign"]] = any(s in low for s in _SIGNS)
-        row[_AT["digits"]] = sum(c.isdigit() for c in b.text[:200]) > 0.2 * min(200, len(b.text))
+        row[_AT["digits"]] = sum(map(low.count, "0123456789")) > 0.2 * len(low)
     if len(page):
         x[0, _AT["first"]] = x[-1, _AT["last"]] = 1
     return x
 
 
 def never(b: Block) -> bool:
-    return b.hidden or "head" in b.tags or "title" in b.tags
+    return b.hidden or _chain(b.node).head
 
 
 # Labelled pages -------------------------------------------------------------------------------------------------------
