@@ -10,7 +10,8 @@ anything but the payload.
 Reading: elements are parsed by their variable-length ids and sizes (unknown
 sizes too), tracks, clusters, simple blocks and block groups, all four kinds of
 lacing (none, Xiph, EBML, fixed) and cues. The result is a packet table: track,
-timestamp, byte range in the file, cluster, key flag.
+timestamp, byte range in the file, cluster, key flag, duration. A block of a
+group is a key frame unless the group names a block that it refers to.
 
 Results in special cases: null and empty texts have a payload of FRAME_UNIT
 spaces; a file that isn't Matroska or ends early raises MatroskaError in
@@ -36,7 +37,7 @@ FRAME_UNIT, FRAME_BYTES, LACED, CLUSTER_BLOCKS, RATE = 192, 1536, 8, 16, 8000
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, SCALE, DURATION, NUMBER, UID, TYPE, CODEC, AUDIO, HERTZ, CHANNELS, DEPTH = 0x4282, 0x2AD7B1, 0x4489, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE, GROUP, BLOCK, BLOCK_DURATION, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_AT, DEFAULT_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x23E383
+REFERENCE, TIMESTAMP, SIMPLE, GROUP, BLOCK, BLOCK_DURATION, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_AT, DEFAULT_DURATION = 0xFB, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x23E383
 PARENTS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, POINT, POSITIONS}
 #: Where an element of unknown size may end: at one that its parent holds.
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469, SEGMENT, EBML}
@@ -126,6 +127,8 @@ class Packet:
     end: int
     cluster: int
     key: bool
+    #: In ticks, where the file tells it.
+    duration: int | None = None
 
 
 @dataclass
@@ -222,10 +225,23 @@ def parse(data: bytes) -> Media:
         known = media.tracks.get(track, {})
         time = base + relative
         for n in sizes:
-            media.packets.append(Packet(track, time, a, a + n, cluster, bool(flags & 0x80) if key is None else key))
-            time += known["ticks"] if "ticks" in known else n // known["bytes"] if "bytes" in known else 0
+            lasts = known["ticks"] if "ticks" in known else n // known["bytes"] if "bytes" in known else None
+            media.packets.append(Packet(track, time, a, a + n, cluster, bool(flags & 0x80) if key is None else key, lasts))
+            time += lasts or 0
             a += n
 
+    def close_group() -> None:
+        """A group's references and duration hold for its block, whichever comes first."""
+        made = media.packets[group["from"] :]
+        for k, p in enumerate(made):
+            p.key = not group["refers"]
+            if group["lasts"] is not None:
+                if p.duration is None:
+                    p.timestamp += group["lasts"] * k // len(made)
+                p.duration = group["lasts"] * (k + 1) // len(made) - group["lasts"] * k // len(made)
+        group["from"] = None
+
+    group: dict = {"from": None}
     segment = 0
     cluster, base = -1, 0
     track: dict = {}
@@ -233,11 +249,13 @@ def parse(data: bytes) -> Media:
     ends: list[tuple[int | None, int]] = []  # (end, id) of the open parents
     while at < len(data):
         while ends and ends[-1][0] is not None and at >= ends[-1][0]:
-            ends.pop()
+            if ends.pop()[1] == GROUP:
+                close_group()
         begin = at
         id_, at = _id(data, at)
-        while ends and ends[-1][0] is None and ends[-1][1] != SEGMENT and id_ in TOP:
-            ends.pop()
+        while ends and ends[-1][0] is None and ends[-1][1] != SEGMENT and id_ in (TOP | {GROUP, SIMPLE, TIMESTAMP} if ends[-1][1] == GROUP else TOP):
+            if ends.pop()[1] == GROUP:
+                close_group()
         n, at = _size(data, at)
         if n is not None and at + n > len(data):
             raise MatroskaError(f"element {id_:X} at {begin} ends after the file")
@@ -248,6 +266,8 @@ def parse(data: bytes) -> Media:
             media.clusters.append(begin)
         elif id_ == TRACK:
             track = {}
+        elif id_ == GROUP:
+            group = {"from": len(media.packets), "refers": False, "lasts": None}
         elif id_ == POINT:
             cue = [0, 0, 0]
         if id_ in PARENTS:
@@ -282,6 +302,10 @@ def parse(data: bytes) -> Media:
             block(at, end, base, cluster, None)
         elif id_ == BLOCK:
             block(at, end, base, cluster, True)
+        elif id_ == REFERENCE:
+            group["refers"] = True
+        elif id_ == BLOCK_DURATION:
+            group["lasts"] = uint(at, end)
         elif id_ == CUE_TIME:
             cue[0] = uint(at, end)
         elif id_ == CUE_TRACK:
@@ -290,6 +314,8 @@ def parse(data: bytes) -> Media:
             cue[2] = segment + uint(at, end)
             media.cues.append((cue[0], cue[1], cue[2]))
         at = end
+    if group["from"] is not None:
+        close_group()
     return media
 
 
@@ -314,13 +340,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, f"id {id_type}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-_PACKET = "track int, timestamp long, start long, end long, cluster long, key boolean"
+_PACKET = "track int, timestamp long, start long, end long, cluster long, key boolean, duration long"
 
 
 def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per packet: id, packet, track, timestamp, start, end, cluster, key, cued, error. A file that can't be read has one row, with the error."""
+    """One row per packet: id, packet, track, timestamp, start, end, cluster, key, duration, cued, error. A file that can't be read has one row, with the error."""
     id_type = media.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("packet", pa.int32()), ("track", pa.int32()), ("timestamp", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("cluster", pa.int64()), ("key", pa.bool_()), ("cued", pa.bool_()), ("error", pa.string())])
+    schema = pa.schema([("packet", pa.int32()), ("track", pa.int32()), ("timestamp", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("cluster", pa.int64()), ("key", pa.bool_()), ("duration", pa.int64()), ("cued", pa.bool_()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,10 +354,10 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 try:
                     m = parse(data.as_py() or b"")
                     cued = {c[2] for c in m.cues}
-                    rows = [(k, p.track, p.timestamp, p.start, p.end, p.cluster, p.key, p.cluster in cued, None) for k, p in enumerate(m.packets)]
+                    rows = [(k, p.track, p.timestamp, p.start, p.end, p.cluster, p.key, p.duration, p.cluster in cued, None) for k, p in enumerate(m.packets)]
                 except MatroskaError as e:
-                    rows = [(None,) * 8 + (str(e),)]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+                    rows = [(None,) * 9 + (str(e),)]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 10
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), b.schema.field(0).type), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], ["id", *schema.names])
 
     rows = media.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{media_col}`").alias("media"))
