@@ -12,8 +12,8 @@ without replacement after Efraimidis and Spirakis: a document's key is an
 exponential variate divided by its quality weight, documents are taken in
 ascending order of key, and the prefix whose words come nearest to the rest is
 in. A source may hold a third of all rows, so the running sum isn't made by one
-window a source: keys are cut into cells of about CELL_ROWS rows, the cells'
-sums are accumulated, and each cell sums up its own rows.
+window a source: rows are cut into ranges of (source, key) of about CELL_ROWS
+rows, the ranges' sums are accumulated, and each range sums up its own rows.
 
 Variates come from md5 of seed and id: reruns agree, whatever the partitioning.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import materialize, n_words, told_apart
 
 MAX_EPOCHS, SEED, CELL_ROWS = 3, "mix-1", 20_000
 
@@ -65,36 +65,38 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: DataFrame |
     return x.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, seed: str = SEED, weights: DataFrame | None = None, quality_col: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, seed: str = SEED, weights: DataFrame | None = None, quality_col: str | None = None, cell_rows: int = CELL_ROWS, row_col: str | None = None) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, taken; and row_col, where another column tells rows apart."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), text.alias("t"), (F.col(f"`{quality_col}`").cast("double") if quality_col else F.lit(None).cast("double")).alias("q"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), text.alias("t"), (F.col(f"`{row_col}`") if row_col else F.lit(None).cast("long")).alias("row"), (F.col(f"`{quality_col}`").cast("double") if quality_col else F.lit(None).cast("double")).alias("q"))
     rows = rows.withColumn("size", n_words(F.col("t")))
     weight = F.coalesce(F.col("q"), quality_weight(F.col("t"), F.col("size")))
-    rows = materialize(rows.select("id", "source", "size", (-F.log(variate(F.col("id"), seed)) / F.greatest(weight, F.lit(1e-9))).alias("key")))
+    rows = materialize(rows.select("id", "row", "source", "size", (-F.log(variate(F.col("id"), seed)) / F.greatest(weight, F.lit(1e-9))).alias("key")))
     per_source = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
-    cells_each = -(-(per_source.agg(F.max("docs")).first()[0] or 1) // cell_rows)
+    cells = max(1, -(-(per_source.agg(F.sum("docs")).first()[0] or 0) // cell_rows))
     plan = targets(per_source.drop("docs"), max_epochs, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("epochs", epochs).withColumn("over", F.col("target") - F.col("epochs") * F.col("source_size"))
-    rows = rows.withColumn("cell", F.floor(F.col("key") / (F.col("key") + 1) * cells_each).cast("int"))
+    # ranges of about equal size, whatever the keys' distribution; equal keys are in one
+    rows = materialize(rows.repartitionByRange(cells, "source", "key").withColumn("cell", F.spark_partition_id()))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).alias("c")
     cells = cells.join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.source", "c.cell", "c.before", "p.source_size", "p.target", "p.epochs", "p.over").alias("c")
-    so_far = Window.partitionBy("source", "cell").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("source", "cell").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("upto", F.sum("size").over(so_far)).alias("r")
     x = summed.join(cells, F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.cell") == F.col("c.cell")))
     drawn = F.col("c.before") + F.col("r.upto") - F.col("r.size") / 2.0 <= F.col("c.over")
     taken = F.col("r.size") * F.col("c.epochs") + F.when(drawn, F.col("r.size")).otherwise(F.lit(0))
-    return x.select(F.col("r.id").alias(id_col), F.col("r.source").alias("source"), F.col("r.size").alias("size"), F.col("c.source_size").alias("source_size"), F.col("c.target").alias("target"), taken.cast("long").alias("taken"))
+    return x.select(F.col("r.id").alias(id_col), F.col("r.source").alias("source"), F.col("r.size").alias("size"), F.col("c.source_size").alias("source_size"), F.col("c.target").alias("target"), taken.cast("long").alias("taken"), *([F.col("r.row").alias(row_col)] if row_col and row_col != id_col else []))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row as many times as the mix takes it, all columns as they were. Ids must be unique."""
-    taken = mix(docs, id_col=id_col, **options)
-    times = taken.filter("taken > 0").select(F.col(id_col).alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    d = docs.alias("d").join(times, F.col(f"d.`{id_col}`") == F.col("_id"))
+    """The mix itself: each row as many times as the mix takes it, all columns as they were. Rows of one id, or of none, are drawn each by itself, with one variate."""
+    rows, row = told_apart(docs, id_col)
+    taken = mix(rows, id_col=id_col, row_col=row, **options)
+    times = taken.filter("taken > 0").select(F.col(row).alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    d = rows.alias("d").join(times, F.col(f"d.`{row}`") == F.col("_id"))
     return d.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("__time__")).drop("__time__")
 
 
