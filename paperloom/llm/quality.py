@@ -111,7 +111,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             x = [features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = rows.select("text", "id", "y").mapInArrow(run, "id long, y int, x array<double>").toPandas().sort_values("id")
+    got = rows.select("text", "id", "y").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<double>").toPandas().sort_values("id")
     return np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)), got["y"].to_numpy()
 
 
