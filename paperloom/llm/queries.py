@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, html_extraction, lm_scoring, matroska, mixing, near_dedup, packing, pii, quality, transcripts
 from .common import table
 
+#: For the test tables; a job sets paperloom.pii.key to a secret of its own.
+TEST_KEY = "paperloom-demo-key"
 PACKING_VOCABULARY, SCORING_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
@@ -40,7 +42,7 @@ def op5_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents"))
+    return pii.replace(table(spark, sf_dir, "documents"), spark.conf.get("paperloom.pii.key", TEST_KEY))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
