@@ -9,6 +9,7 @@ all of them finds the pieces, and the recursions run in log space.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, inf, log1p
 
 import numpy as np
 
@@ -16,6 +17,8 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BITS = 20
 #: Words of a length that are handled together.
 GROUP = 20_000
+#: Longer words are handled one by one, in time and memory that grow with their length.
+LONG = 1000
 
 
 def vocabulary_pieces(model_file: str) -> tuple[list[bytes], np.ndarray]:
@@ -91,8 +94,40 @@ class Lattice:
 
     def forward(self, rows: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """log p of each row, summed over its segmentations."""
+        if rows.shape[1] > LONG:
+            return np.array([self._long(r, logp)[3][-1] for r in rows])
         return self._forward(rows, logp, None)[:, -1]
 
+    def _long(self, row: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+        """(starts, ends, pieces) of the edges of one long row by start, and log p up to each place: pieces are found for all starts at once."""
+        codes = row.astype(np.uint64) + np.uint64(1)
+        who, h = np.arange(len(row)), np.zeros(len(row), np.uint64)
+        found = []
+        for n in range(self.longest):
+            on = who + n < len(row)
+            who, h = who[on], h[on]
+            h = (h + codes[who + n]) * _BASE
+            k = self.find(h)
+            on = np.flatnonzero(k < len(self.hashes) - 1)
+            if not len(on):
+                break
+            who, h, piece = who[on], h[on], self.piece[k[on]]
+            whole = np.flatnonzero(piece >= 0)
+            found.append((who[whole], who[whole] + n + 1, piece[whole]))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        return start, end, piece, self._sums(len(row), start.tolist(), end.tolist(), logp[piece].tolist())
+
+    @staticmethod
+    def _sums(n: int, start: list[int], end: list[int], lp: list[float]) -> list[float]:
+        """log of the sums over paths from place 0 to each place; edges come by start."""
+        a = [0.0] + [-inf] * n
+        for i, j, w in zip(start, end, lp, strict=True):
+            x, y = a[i] + w, a[j]
+            a[j] = x if y == -inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+        return a
+
     def _forward(self, rows: np.ndarray, logp: np.ndarray, keep: list | None) -> np.ndarray:
         a = np.full((len(rows), rows.shape[1] + 1), -np.inf)
         a[:, 0] = 0
@@ -104,6 +139,14 @@ class Lattice:
 
     def expected(self, rows: np.ndarray, times: np.ndarray, logp: np.ndarray, out: np.ndarray) -> None:
         """Add how often each piece is expected in rows that occur so many times."""
+        if rows.shape[1] > LONG:
+            for r, t in zip(rows, times, strict=True):
+                start, end, piece, up = self._long(r, logp)
+                order = np.argsort(-end, kind="stable")
+                down = self._sums(len(r), (len(r) - end[order]).tolist(), (len(r) - start[order]).tolist(), logp[piece[order]].tolist())
+                p = np.exp(np.array(up)[start] + logp[piece] + np.array(down)[len(r) - end] - up[-1])
+                out += np.bincount(piece, p * t, len(out))
+            return
         edges: list = []
         a = self._forward(rows, logp, edges)
         b = np.full_like(a, -np.inf)

@@ -1,24 +1,26 @@
 """Scoring texts by the marginal probability of a subword lattice.
 
 A text is a run of words that ends with an end mark. A word's probability is the
-sum over all ways to write it: as one whole-word arc, if the training documents
-have it (its count less a discount D, by N training tokens), or by any
-segmentation into pieces of the existing vocabulary, which share what the
-discounts leave (D times the T known words, by N). D is n1 / (n1 + 2 n2), from
-the numbers of words seen once and twice. The result is a proper distribution
-over texts. A forward recursion in log space sums over the segmentations.
-
-The vocabulary's own scores are the first weights of the pieces (rank r weighs
-1/(r+1)); EM_ROUNDS of expectation maximisation over the different words of all
-training documents then fit them, every segmentation counting by its
-probability. No piece crosses a word's start, so a word is weighed once for all
-texts that have it.
-
-What a document needs from the corpus - the training count of each of its words
-- is gathered by chunks of about CHUNK_BYTES of text: a chunk asks once for each
-distinct word, the requests meet at the word, and the answers return to the
-chunk. A word has at most one request a chunk, so frequent words don't pile up.
-The corpus is never on the driver; only the weights (one per piece) are.
+sum over all ways to write it in pieces of the existing vocabulary; a forward
+recursion in log space sums over the segmentations. The vocabulary's own scores
+are the first weights of the pieces (rank r weighs 1/(r+1)); EM_ROUNDS of
+expectation maximisation over the words of all training documents then fit them,
+every segmentation counting by its probability and every word as often as it
+occurs. No piece crosses a word's start, so a word is weighed once for all texts
+that have it. `score` is this probability; the end mark's is its share of the
+training tokens, and the pieces share the rest.
+
+`word_score` is that of another model beside it: a word is one whole-word arc,
+if the training documents have it (its count less a discount D, by N training
+tokens), or any segmentation, which share what the discounts leave (D times the
+T known words, by N). D is n1 / (n1 + 2 n2), from the numbers of words seen once
+and twice.
+
+What a document needs from the corpus - the training count and weight of each of
+its words - is gathered by chunks of about CHUNK_BYTES of text: a chunk asks
+once for each distinct word, counts are added up with partial sums, and each
+word's answer is joined to the chunks that asked. A word has at most one request
+a chunk. The corpus is never on the driver; only the weights (one per piece) are.
 
 Results in special cases: null and empty texts consist of the end mark; null
 ids count as training documents; repeated rows count as often as they occur;
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -89,9 +91,9 @@ def _expect(model_file: str, logp: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, out = _lattice(model_file), np.zeros(len(logp))
         for b in _gathered(batches):
-            words = b.column(0).to_pylist()
+            words, times = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
             for at, rows in lattice.by_length(words):
-                lattice.expected(rows, np.ones(len(at)), logp, out)
+                lattice.expected(rows, times[at], logp, out)
         k = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(out[k])], ["piece", "n"])
 
@@ -99,7 +101,7 @@ def _expect(model_file: str, logp: np.ndarray):
 
 
 def fit(words: DataFrame, model_file: str, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """log p of each piece, from the different words (word)."""
+    """log p of each piece, from the different words and how often they occur (word, c)."""
     pieces, scores = vocabulary_pieces(model_file)
     rank = np.empty(len(pieces))
     rank[np.argsort(-scores, kind="stable")] = np.arange(len(pieces))
@@ -113,43 +115,46 @@ def fit(words: DataFrame, model_file: str, rounds: int = EM_ROUNDS) -> np.ndarra
     return logp
 
 
-def _weigh(model_file: str, logp: np.ndarray, total: int, known: int, discount: float):
+def _weigh(model_file: str, logp: np.ndarray):
+    """log p of each word over all its segmentations."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(model_file)
-        share = np.log(discount * known / total) if total else 0.0
         for b in _gathered(batches):
-            coded = b.column(1).dictionary_encode()
-            words = coded.dictionary.to_pylist()
+            words = b.column(0).to_pylist()
             spelt = np.zeros(len(words))
             for at, rows in lattice.by_length(words):
                 spelt[at] = lattice.forward(rows, logp)
-            lp = share + spelt[coded.indices.to_numpy(zero_copy_only=False)]
-            if total:
-                with np.errstate(divide="ignore"):
-                    lp = np.logaddexp(lp, np.log(np.maximum(b.column(2).to_numpy(zero_copy_only=False) - discount, 0) / total))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lp)], ["chunk", "word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spelt)], ["word", "c", "lp"])
 
     return run
 
 
-def _judge(total: int, distinct: int, ends: int, end: float):
+def _judge(total: int, distinct: int, ends: int, known: int, discount: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         place = {w: k for k, w in enumerate(answers.column("word").to_pylist())}
         c, lp = answers.column("c").to_numpy(), answers.column("lp").to_numpy()
         base = np.log10((c + 1) / (total + distinct + 1))
         base_end = np.log10((ends + 1) / (total + distinct + 1))
-        out: list[list] = [[], [], [], []]
+        # the end mark's share, and what is left to the words
+        end, go_on = (np.log(ends / total), np.log(max(total - ends, 1) / total)) if ends else (0.0, 0.0)
+        both = lp + (np.log(discount * known / total) if known else go_on)
+        if total:
+            with np.errstate(divide="ignore"):
+                both = np.logaddexp(both, np.log(np.maximum(c - discount, 0) / total))
+        out: list[list] = [[], [], [], [], []]
         for text in docs.column("text"):
             at = list(map(place.__getitem__, words_of(text.as_py())))
-            for col, v in zip(out, (len(at) + 1, int((c[at] > 0).sum()) + (ends > 0), float(base[at].sum() + base_end), float((lp[at].sum() + end) / np.log(10))), strict=True):
+            marginal, word = (float((x[at].sum() + y * len(at) + end) / np.log(10)) for x, y in ((lp, go_on), (both, 0.0)))
+            for col, v in zip(out, (len(at) + 1, int((c[at] > 0).sum()) + (ends > 0), float(base[at].sum() + base_end), marginal, word), strict=True):
                 col.append(v)
-        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
+        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64()), "word_score": pa.array(out[4], pa.float64())})
 
     return run
 
 
 def score(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = EM_ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score."""
     key, id_type = F.col(f"`{id_col}`"), docs.schema[id_col].dataType.simpleString()
     rows = docs.select(key.alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -159,15 +164,15 @@ def score(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.length("text")), F.lit(chunks)).cast("int"))
 
     asked = rows.groupBy("chunk").applyInArrow(_requests(), "chunk int, word binary, n long")
-    met = Window.partitionBy("word")
-    asked = asked.select("chunk", "word", F.sum("n").over(met).alias("c"), (F.row_number().over(met.orderBy("chunk")) == 1).alias("first"))
     asked = materialize(asked)
-    words = asked.filter("first AND c > 0").select("word", "c")
-    known = words.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    words = materialize(asked.groupBy("word").agg(F.sum("n").alias("c")))
+    seen = words.filter("c > 0")
+    known = seen.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
     discount = (known["n1"] + 0.5) / (known["n1"] + 2 * known["n2"] + 1)
-    logp = fit(words.select("word"), model_file, rounds if known["v"] else 0)
-    end = float(np.log(ends / total)) if ends else 0.0
-    answers = asked.select("chunk", "word", "c").mapInArrow(_weigh(model_file, logp, total, known["v"], discount), "chunk int, word binary, c long, lp double")
-    judged = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_judge(total, distinct, ends, end), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return judged.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    logp = fit(seen, model_file, rounds if known["v"] else 0)
+    weighed = words.mapInArrow(_weigh(model_file, logp), "word binary, c long, lp double")
+    # merged whatever the sizes: the words grow with the corpus
+    answers = asked.select("chunk", "word").join(weighed.hint("merge"), "word")
+    judged = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_judge(total, distinct, ends, known["v"], discount), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word_score double")
+    return judged.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "word_score")
