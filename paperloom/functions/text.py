@@ -63,11 +63,9 @@ def parse_date(c: Column) -> Column:
 
 def classify(c: Column) -> tuple[Column, Column]:
     """(document type, pattern that matched): the first type, in order, with a pattern that occurs."""
-    text = F.regexp_replace(c, r"^\s+|\s+$", "")
-    rules = [(text.rlike(I + p), t, p) for t, ps in vocab.TYPE_PATTERNS for p in ps]
-    empty = (blank(c), "Unknown", None)
-    kinds = case_of([(empty[0], F.lit("Unknown")), *((r, F.lit(t)) for r, t, _ in rules)], F.lit("Unknown"))
-    return kinds, case_of([(empty[0], F.lit(None).cast("string")), *((r, F.lit(p)) for r, _, p in rules)])
+    # no pattern has an anchor, so the text is searched as it is; one search a type, one a pattern only for its own
+    kinds = case_of([(c.rlike(f"{I}(?:{'|'.join(ps)})"), F.lit(t)) for t, ps in vocab.TYPE_PATTERNS], F.lit("Unknown"))
+    return kinds, case_of([(c.rlike(I + p), F.lit(p)) for _, ps in vocab.TYPE_PATTERNS for p in ps])
 
 
 def extractor_of(kind: Column) -> Column:
@@ -146,8 +144,9 @@ def taluk_district(taluk: Column) -> Column:
 
 def district_in_text(c: Column) -> Column:
     """First district, in list order, that occurs as a word; else that of a taluk that is named."""
-    hits = F.filter(F.array(*map(F.lit, vocab.DISTRICTS)), lambda d: F.rlike(c, F.concat(F.lit(I + r"\b"), d, F.lit(r"\b"))))
-    return F.coalesce(F.try_element_at(hits, F.lit(1)), taluk_district(found(c, I + r"\b([A-Za-z]{4,15})\s+Taluk\b")))
+    whole = lambda names: I + rf"\b(?:{'|'.join(names)})\b"
+    hit = F.when(c.rlike(whole(vocab.DISTRICTS)), case_of([(c.rlike(whole([d])), F.lit(d)) for d in vocab.DISTRICTS]))
+    return F.coalesce(hit, taluk_district(found(c, I + r"\b([A-Za-z]{4,15})\s+Taluk\b")))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import clean_name, taluk_district
+from ..functions.text import blank, clean_name, some, taluk_district
 from . import rules
+from .corrections import hydrated
 
 SEARCHED = ("citizen_name", "certificate_number", "aadhaar_number", "district", "ocr_text")
 
@@ -75,21 +76,32 @@ def stats(r: DataFrame, log: DataFrame) -> DataFrame:
     return mine.join(F.broadcast(log.agg(F.count("*").alias("blocked"))), F.lit(True))  # one row each
 
 
-def field_map() -> Column:
-    """The fields that a record's columns hold, by name."""
-    pairs = {"Citizen Name": "citizen_name", "Certificate Number": "certificate_number", "Aadhaar Number": "aadhaar_number", "Date of Birth": "dob", "District": "district", "Annual Income": "annual_income", "Father's Name": "father"}
-    return F.create_map(*[x for k, c in pairs.items() for x in (F.lit(k), F.col(c))])
+# Fields that stand for another one where that isn't there, in order.
+ALIASES = {
+    "Certificate Number": ("PAN Number", "Driving Licence Number", "Registration Number"),
+    "Citizen Name": ("Name", "Applicant Name", "Child Name", "Card Holder's Name"),
+    "Date of Birth": ("DOB",),
+}
+
+
+def with_fields(r: DataFrame) -> DataFrame:
+    """With `_m`, a record's fields by name: those in its JSON, its columns where the JSON doesn't have their key, and aliases where neither has."""
+    x = r.withColumn("_h", hydrated())
+    others = {k: F.coalesce(*[F.nullif(F.try_element_at("_h", F.lit(a)), F.lit("")) for a in names]) for k, names in ALIASES.items()}
+    more = F.map_filter(F.create_map(*[c for k, v in others.items() for c in (F.lit(k), v)]), lambda k, v: v.isNotNull() & ~F.map_contains_key("_h", k))
+    return x.withColumn("_m", F.map_concat("_h", more)).drop("_h")
 
 
 def fields(r: DataFrame) -> DataFrame:
-    return r.select("id", "document_type", F.explode(field_map()).alias("field", "value"))
+    # outer: a filter on the map's size, which the other one brings, would repeat all that makes the map
+    return with_fields(r).select("id", "document_type", F.explode_outer("_m").alias("field", "value")).filter("field IS NOT NULL")
 
 
 def required_presence(r: DataFrame) -> DataFrame:
     """(id, field, present) for the fields that each record's type requires."""
     required = F.create_map(*[x for k, v in vocab.REQUIRED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     names = F.coalesce(F.try_element_at(required, F.col("document_type")), F.try_element_at(required, F.lit("Generic Document")))
-    x = r.select("id", field_map().alias("m"), F.explode(names).alias("field"))
+    x = with_fields(r).select("id", F.col("_m").alias("m"), F.explode(names).alias("field"))
     return x.select("id", "field", (F.coalesce(F.trim(F.try_element_at("m", F.col("field"))), F.lit("")) != "").alias("present"))
 
 
@@ -101,28 +113,44 @@ def _with(r: DataFrame, close: Column | None) -> tuple[DataFrame, Column | None]
 STANDARD = ("Certificate Number", "certificate_number", "Aadhaar Number", "aadhaar_number", "Citizen Name", "citizen_name", "Applicant Name", "Name", "Child Name", "Father / Guardian", "Father's Name", "Father / Husband Name", "District", "district", "Date of Birth", "dob", "DOB", "Issue Date", "issue_date")
 
 
-def other_fields() -> Column:
+def other_fields(parsed: Column | None = None) -> Column:
     """The fields of a record's JSON that have no rules of their own, without blank ones."""
-    return F.map_filter(extra(), lambda k, v: ~k.isin(*STANDARD) & (F.coalesce(v, F.lit("")) != ""))
-
-
-def _infos(close: Column | None = None) -> Column:
-    """What the rules say of a record's fields. Name and district always count; a father's name, dates and fields without rules where there are any."""
-    given = lambda c, rule: F.when(F.coalesce(F.trim(c), F.lit("")) != "", rule)
-    cert = F.when(F.col("document_type").isin("Community Certificate", "Income Certificate", "Birth Certificate"), rules.verify_certificate(F.col("certificate_number")))
-    aad = F.when((F.col("document_type") == "Aadhaar Card") | (F.coalesce(F.trim("aadhaar_number"), F.lit("")) != ""), rules.verify_aadhaar(F.col("aadhaar_number")))
-    father = F.coalesce(*[F.nullif(F.try_element_at(extra(), F.lit(k)), F.lit("")) for k in ("Father / Guardian", "Father's Name", "Father / Husband Name")])
-    fixed = F.array(cert, aad, rules.verify_name(F.col("citizen_name"), "Citizen Name"), given(father, rules.verify_name(father, "Father / Guardian")), rules.verify_district(F.col("district"), close), given(F.col("dob"), rules.verify_date(F.col("dob"))), given(F.col("issue_date"), rules.verify_date(F.col("issue_date"))))
-    others = F.coalesce(F.transform(F.map_values(other_fields()), rules.verify_other), F.array())
-    return F.filter(F.concat(fixed, others), lambda x: x.isNotNull())
+    return F.map_filter(extra() if parsed is None else parsed, lambda k, v: ~k.isin(*STANDARD) & (F.coalesce(v, F.lit("")) != "") & ~blank(v))
+
+
+def flagged(r: DataFrame, close: Column | None = None) -> DataFrame:
+    """With `_flagged` and `_fields`: how many of a record's fields the rules flag, and how many they judge.
+
+    Name and district always count; a father's name, dates and fields without
+    rules where there are any. The JSON is parsed once and each value trimmed
+    once, in projections of their own; no function on arrays holds a rule.
+    """
+    values = {"_cert": "certificate_number", "_aad": "aadhaar_number", "_name": "citizen_name", "_place": "district", "_dob": "dob", "_issue": "issue_date"}
+    x = r.withColumn("_x", extra())
+    x = x.withColumn("_father", F.coalesce(*[F.nullif(F.try_element_at("_x", F.lit(k)), F.lit("")) for k in ("Father / Guardian", "Father's Name", "Father / Husband Name")]))
+    x = x.withColumns({"_father": some(F.col("_father")), **{k: some(F.col(c)) for k, c in values.items()}, "_others": F.map_values(other_fields(F.col("_x")))})
+    given = lambda c, rule: F.when(F.col(c).isNotNull(), rule)
+    judged = {
+        "_1": F.when(F.col("document_type").isin("Community Certificate", "Income Certificate", "Birth Certificate"), rules.verify_certificate(F.col("_cert"), True)["flagged"]),
+        "_2": F.when((F.col("document_type") == "Aadhaar Card") | F.col("_aad").isNotNull(), rules.verify_aadhaar(F.col("_aad"), True)["flagged"]),
+        "_3": rules.verify_name(F.col("_name"), "Citizen Name", True)["flagged"],
+        "_4": given("_father", rules.verify_name(F.col("_father"), "Father / Guardian", True)["flagged"]),
+        "_5": rules.verify_district(F.col("_place"), close, True)["flagged"],
+        "_6": given("_dob", rules.verify_date(F.col("_dob"), True)["flagged"]),
+        "_7": given("_issue", rules.verify_date(F.col("_issue"), True)["flagged"]),
+    }
+    x = x.withColumns(judged)
+    odd = F.size(F.filter("_others", lambda v: v.rlike(vocab.SUSPICIOUS)))
+    add = lambda cols: sum((c.cast("int") for c in cols), F.lit(0))
+    mine = [F.col(k) for k in judged]
+    counted = x.withColumns({"_flagged": add(F.coalesce(c, F.lit(False)) for c in mine) + F.greatest(F.coalesce(odd, F.lit(0)), F.lit(0)), "_fields": add(c.isNotNull() for c in mine) + F.greatest(F.coalesce(F.size("_others"), F.lit(0)), F.lit(0))})
+    return counted.drop("_x", "_father", "_others", *values, *judged)
 
 
 def verification_report(r: DataFrame, close: Column | None = None) -> DataFrame:
     """(id, flagged, fields, status) by the rules on all fields of a record."""
     r, close = _with(r, close)
-    x = r.select("id", "verification_status", _infos(close).alias("i"))
-    flagged = F.size(F.filter("i", lambda x: x["flagged"])).cast("long")
-    return x.select("id", flagged.alias("flagged"), F.size("i").cast("long").alias("fields"), rules.overall_status(F.col("verification_status"), flagged).alias("status"))
+    return flagged(r, close).select("id", F.col("_flagged").cast("long").alias("flagged"), F.col("_fields").cast("long").alias("fields"), rules.overall_status(F.col("verification_status"), F.col("_flagged")).alias("status"))
 
 
 def verify_others(r: DataFrame) -> DataFrame:
@@ -134,7 +162,7 @@ def verify_others(r: DataFrame) -> DataFrame:
 def quality_report(r: DataFrame, measured: bool = True) -> DataFrame:
     """A record's whole quality report; without its measurements only completeness counts."""
     none = F.lit(None).cast("double")
-    missing = rules.missing_fields(F.col("document_type"), field_map())
+    missing = rules.missing_fields(F.col("document_type"), F.col("_m"))
     x = scored(r if measured else r.withColumns(dict.fromkeys(("blur", "brightness", "skew", "ocr_confidence"), none)), missing.alias("missing"), "blur", "brightness", "skew")
     said = rules.factors(F.col("missing"), F.col("blur"), F.col("brightness"), F.col("skew"), F.col("ocr"))
     return x.select("id", F.col("score").alias("overall_score"), rules.category(F.col("score")).alias("category"), rules.recommendation(F.col("score"), F.col("missing"), F.col("image")).alias("recommendation"), F.col("image").alias("image_quality_score"), F.col("ocr").alias("ocr_confidence_score"), F.col("complete").alias("field_completeness_score"), F.array_join("missing", ", ").alias("missing_required_fields"), F.array_join(said, " ").alias("score_reduction_factors"))
@@ -143,45 +171,45 @@ def quality_report(r: DataFrame, measured: bool = True) -> DataFrame:
 def quality_lookup(r: DataFrame) -> DataFrame:
     """(id, overall_score): from the stored report if it has a score, else from completeness."""
     stored = F.try_element_at(F.from_json("quality_report", "map<string,string>"), F.lit("overall_score")).try_cast("double")
-    x = r.select("id", stored.alias("s"), rules.completeness(F.col("document_type"), field_map())["score"].alias("c"))
+    x = with_fields(r).select("id", stored.alias("s"), rules.completeness(F.col("document_type"), F.col("_m"))["score"].alias("c"))
     return x.select("id", F.coalesce("s", "c").alias("overall_score"))
 
 
 def revalidate(r: DataFrame, as_of: str, close: Column | None = None) -> DataFrame:
     """Consistency, verification and quality of records after edits, in one pass; nothing is stored."""
     r, close = _with(r, close)
-    x = r.select("id", "verification_status", _statuses(r, as_of, close).alias("s"), _infos(close).alias("i"), rules.completeness(F.col("document_type"), field_map())["score"].alias("q"))
-    flagged = F.size(F.filter("i", lambda v: v["flagged"]))
+    x = with_fields(flagged(r, close)).select("id", "verification_status", _statuses(as_of, close).alias("s"), "_flagged", rules.completeness(F.col("document_type"), F.col("_m"))["score"].alias("q"))
     consistent = F.when(F.array_contains("s", "Failed"), "Failed").when(F.array_contains("s", "Warning"), "Warning").otherwise("Passed")
-    return x.select("id", consistent.alias("consistency"), rules.overall_status(F.col("verification_status"), flagged).alias("verification"), F.col("q").alias("quality"))
+    return x.select("id", consistent.alias("consistency"), rules.overall_status(F.col("verification_status"), F.col("_flagged")).alias("verification"), F.col("q").alias("quality"))
 
 
 def scored(r: DataFrame, *more) -> DataFrame:
     """Records with their completeness, image, recognition and overall scores; no image measurements, no image score."""
     measured = F.col("blur").isNotNull() | F.col("brightness").isNotNull() | F.col("skew").isNotNull()
-    x = r.select("id", rules.completeness(F.col("document_type"), field_map())["score"].alias("complete"), F.when(measured, rules.image_score(F.col("blur"), F.col("brightness"), F.col("skew"))).alias("image"), rules.ocr_score(F.col("ocr_confidence")).alias("ocr"), *more)
+    x = with_fields(r).select("id", rules.completeness(F.col("document_type"), F.col("_m"))["score"].alias("complete"), F.when(measured, rules.image_score(F.col("blur"), F.col("brightness"), F.col("skew"))).alias("image"), rules.ocr_score(F.col("ocr_confidence")).alias("ocr"), *more)
     return x.withColumn("score", rules.overall_score(F.col("complete"), F.col("image"), F.col("ocr")))
 
 
-def _statuses(r: DataFrame, as_of: str, close: Column | None = None) -> Column:
-    """Status of each field and check of a record: required ones fail if blank, other than the type's own fields aren't checked."""
+def _statuses(as_of: str, close: Column | None = None) -> Column:
+    """Of records `with_fields`: status of each field and check of a record: required ones fail if blank, other than the type's own fields aren't checked."""
     by_type = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     of = lambda d: F.coalesce(F.try_element_at(by_type(d), F.col("document_type")), F.try_element_at(by_type(d), F.lit("Generic Document")))
     required, known = of(vocab.REQUIRED), F.array_union(of(vocab.REQUIRED), of(vocab.OPTIONAL))
-    given = F.map_filter(field_map(), lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")
+    given = F.map_filter("_m", lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")
     present = F.transform(F.map_entries(given), lambda e: F.when(F.array_contains(known, e["key"]), rules.field_format(e["key"], e["value"], close)).otherwise("Passed"))
     missing = F.transform(F.array_except(required, F.map_keys(given)), lambda _: F.lit("Failed"))
-    a, b, m = clean_name(F.col("citizen_name")), clean_name(F.col("father")), taluk_district(F.col("taluk"))
+    at = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at("_m", F.lit(k)), F.lit("")) for k in keys])
+    a, b, m, place_of = clean_name(at("Citizen Name", "Name")), clean_name(at("Father's Name", "Father / Guardian", "Father / Husband Name")), taluk_district(at("Taluk")), at("District")
     parent = F.when((F.lower(a) == F.lower(b)) & (F.length(a) > 2), "Warning").when(a.isNotNull() & b.isNotNull(), "Passed")
-    place = F.when(m.isNull() | (F.col("district") == ""), F.lit(None)).when(F.lower(m) != F.lower(F.trim("district")), "Warning").otherwise("Passed")
-    checks = F.array(rules.date_check(F.col("document_type"), F.col("dob"), F.col("issue_date"), as_of)["status"], parent, place)
+    place = F.when(m.isNull() | place_of.isNull(), F.lit(None)).when(F.lower(m) != F.lower(F.trim(place_of)), "Warning").otherwise("Passed")
+    checks = F.array(rules.date_check(F.col("document_type"), at("Date of Birth", "DOB"), at("Issue Date"), as_of)["status"], parent, place)
     return F.array_compact(F.concat(present, missing, checks))
 
 
 def consistency(r: DataFrame, as_of: str, close: Column | None = None) -> DataFrame:
     """(id, failed, warnings, passed, status) over a record's fields and checks; conflicts with other records are apart (historical_conflict). `close`: the district closest to the record's by spelling, which then passes."""
     r, close = _with(r, close)
-    x = r.select("id", _statuses(r, as_of, close).alias("s"))
+    x = with_fields(r).select("id", _statuses(as_of, close).alias("s"))
     n = lambda what: F.size(F.filter("s", lambda v: v == what)).cast("long")
     x = x.select("id", n("Failed").alias("failed"), n("Warning").alias("warnings"), n("Passed").alias("passed"))
     return x.withColumn("status", F.when(F.col("failed") > 0, "Failed").when(F.col("warnings") > 0, "Warning").otherwise("Passed"))
@@ -189,5 +217,5 @@ def consistency(r: DataFrame, as_of: str, close: Column | None = None) -> DataFr
 
 def initial_status(r: DataFrame, as_of: str) -> DataFrame:
     """(id, status) at upload: verified unless a field is flagged or a check fails. One pass, no join."""
-    flagged = F.size(F.filter(_infos(), lambda x: x["flagged"])) > 0
-    return r.select("id", F.when(flagged | F.array_contains(_statuses(r, as_of), "Failed"), "needs_review").otherwise("auto_verified").alias("status"))
+    x = with_fields(flagged(r))
+    return x.select("id", F.when((F.col("_flagged") > 0) | F.array_contains(_statuses(as_of), "Failed"), "needs_review").otherwise("auto_verified").alias("status"))

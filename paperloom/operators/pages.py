@@ -30,8 +30,11 @@ def merge(pages: DataFrame) -> DataFrame:
     text, with the embedded text behind it unless it is part of it. Pages
     without any text add nothing.
     """
-    embedded, ocr = some(F.col("embedded")), F.nullif("ocr", F.lit(""))
-    rich = F.coalesce((F.length(embedded) >= 150) & (F.size(F.filter(F.array(*map(F.lit, RICH_WORDS)), lambda w: F.contains(F.lower(embedded), w))) >= 2), F.lit(False))
+    pages = pages.select("id", "page", some(F.col("embedded")).alias("embedded"), F.nullif("ocr", F.lit("")).alias("ocr"), "conf")
+    pages = pages.withColumn("low", F.when(F.length("embedded") >= 150, F.lower("embedded")))
+    words = sum((F.contains("low", F.lit(w)).cast("int") for w in RICH_WORDS), F.lit(0))
+    pages = pages.withColumn("rich", F.coalesce(words >= 2, F.lit(False)))
+    embedded, ocr, rich = F.col("embedded"), F.col("ocr"), F.col("rich")
     both = F.when(embedded.isNull() | F.contains(ocr, embedded), ocr).otherwise(F.concat_ws("\n", ocr, embedded))
     one = pages.select("id", "page", F.when(rich, embedded).otherwise(both).alias("t"), F.when(rich, 0.95).otherwise(F.col("conf")).alias("c"))
     texts = F.transform(F.array_sort(F.filter(F.collect_list(F.struct("page", "t")), lambda x: x["t"].isNotNull())), lambda x: x["t"])

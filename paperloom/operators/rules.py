@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from ..functions.text import blank, case_of, clean_name, grouped, parse_date, so
 
 def _info(reasons: list[Column], confidences: list[Column], base: float, value: Column, suggestion: Column | None = None) -> Column:
     """Struct (value, flagged, confidence, reasons, suggestion): a rule's reason and confidence are null where it isn't met."""
-    r = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
-    return F.struct(value.alias("value"), (F.size(r) > 0).alias("flagged"), F.least(F.lit(base), *confidences).alias("confidence"), F.array_join(r, "; ").alias("reasons"), (suggestion if suggestion is not None else F.lit(None).cast("string")).alias("suggestion"))
+    flagged = reduce(lambda a, b: a | b, [r.isNotNull() for r in reasons], F.lit(False))
+    return F.struct(value.alias("value"), flagged.alias("flagged"), F.least(F.lit(base), *confidences).alias("confidence"), F.concat_ws("; ", *reasons).alias("reasons"), (suggestion if suggestion is not None else F.lit(None).cast("string")).alias("suggestion"))
 
 
 def _fixed(flagged: bool, confidence: float, reason: str, value: Column | None = None) -> Column:
@@ -20,8 +22,9 @@ def _fixed(flagged: bool, confidence: float, reason: str, value: Column | None =
     return F.struct((value if value is not None else none).alias("value"), F.lit(flagged).alias("flagged"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reasons"), none.alias("suggestion"))
 
 
-def verify_certificate(c: Column) -> Column:
-    v = some(c)
+def verify_certificate(c: Column, tidy: bool = False) -> Column:
+    """`tidy`: the value has been through `some`, here and below."""
+    v = c if tidy else some(c)
     odd = F.regexp_extract(v, f"({vocab.SUSPICIOUS})", 1)
     bare = v.startswith("TN") & ~v.startswith("TN-") & (F.length(v) > 4)
     header = F.lower(v).rlike("rmtr|certificateno|date")
@@ -36,8 +39,8 @@ def verify_certificate(c: Column) -> Column:
     return F.when(v.isNull(), _fixed(True, 0.20, "Certificate Number was not detected by OCR")).when(known, _fixed(False, 0.98, "", v)).otherwise(_info([F.when(a, b) for a, b, _ in rules], [F.when(a, n) for a, _, n in rules], 0.95, v, hyphened))
 
 
-def verify_aadhaar(c: Column) -> Column:
-    v = some(c)
+def verify_aadhaar(c: Column, tidy: bool = False) -> Column:
+    v = c if tidy else some(c)
     d = F.regexp_replace(v, r"\D", "")
     wrong = F.length(d) != 12
     said = F.when(F.length(d) == 16, "16-digit Virtual ID (VID) extracted instead of 12-digit Aadhaar number").otherwise(F.concat(F.lit("Contains "), F.length(d).cast("string"), F.lit(" digits instead of expected 12 digits")))
@@ -45,10 +48,10 @@ def verify_aadhaar(c: Column) -> Column:
     return F.when(v.isNull(), _fixed(True, 0.20, "Aadhaar number was not detected in document")).otherwise(_info([F.when(wrong, said), F.when(odd, F.lit("Uncertain OCR character detected in Aadhaar string"))], [F.when(wrong, 0.45), F.when(odd, 0.50)], 0.98, v, F.when(~wrong & (v != grouped(d)), grouped(d))))
 
 
-def verify_name(c: Column, field: str) -> Column:
-    v = some(c)
+def verify_name(c: Column, field: str, tidy: bool = False) -> Column:
+    v = c if tidy else some(c)
     odd = F.regexp_extract(v, f"({vocab.SUSPICIOUS})", 1)
-    noise = F.try_element_at(F.filter(F.array(*map(F.lit, vocab.NAME_NOISE)), lambda w: F.contains(F.lower(v), w)), F.lit(1))
+    noise = case_of([(F.contains(F.lower(v), F.lit(w)), F.lit(w)) for w in vocab.NAME_NOISE])
     rules = [
         (odd != "", F.concat(F.lit("Uncertain character '"), odd, F.lit("' detected in name")), 0.50),
         (v.rlike(r"\p{Nd}"), F.lit("Numeric digits found inside person name"), 0.60),
@@ -56,13 +59,13 @@ def verify_name(c: Column, field: str) -> Column:
         (F.contains(v, F.lit("'")), F.lit("Unwanted apostrophe/punctuation in name"), 0.70),
         (F.length(v) < 2, F.lit(f"{field} is too short (< 2 characters)"), 0.40),
     ]
-    tidy = F.when(F.contains(v, F.lit("'")), F.regexp_replace(F.trim(F.regexp_replace(v, "['`’]", " ")), r"\s+", " "))
-    return F.when(v.isNull(), _fixed(True, 0.20, f"{field} could not be extracted")).otherwise(_info([F.when(a, b) for a, b, _ in rules], [F.when(a, n) for a, _, n in rules], 0.95, v, tidy))
+    without = F.when(F.contains(v, F.lit("'")), F.regexp_replace(F.trim(F.regexp_replace(v, "['`’]", " ")), r"\s+", " "))
+    return F.when(v.isNull(), _fixed(True, 0.20, f"{field} could not be extracted")).otherwise(_info([F.when(a, b) for a, b, _ in rules], [F.when(a, n) for a, _, n in rules], 0.95, v, without))
 
 
-def verify_district(c: Column, close: Column | None = None) -> Column:
+def verify_district(c: Column, close: Column | None = None, tidy: bool = False) -> Column:
     """`close`: the district that is closest by spelling, where there is one."""
-    v = some(c)
+    v = c if tidy else some(c)
     close = close if close is not None else F.lit(None).cast("string")
     known = F.lower(v).isin(*[d.lower() for d in vocab.DISTRICTS])
     near = _info([F.concat(F.lit("District '"), v, F.lit("' likely misspelling of official district '"), close, F.lit("'"))], [F.lit(0.70)], 0.95, v, close)
@@ -70,8 +73,8 @@ def verify_district(c: Column, close: Column | None = None) -> Column:
     return F.when(v.isNull(), _fixed(False, 0.50, "")).when(known, _fixed(False, 0.95, "", v)).when(close.isNotNull(), near).otherwise(far)
 
 
-def verify_date(c: Column) -> Column:
-    v = some(c)
+def verify_date(c: Column, tidy: bool = False) -> Column:
+    v = c if tidy else some(c)
     parts = F.split(F.replace(v, F.lit("/"), F.lit("-")), "-")
     n = [F.try_element_at(parts, F.lit(k)).try_cast("int") for k in (1, 2, 3)]
     bad = F.greatest(*[x.isNull() for x in n])

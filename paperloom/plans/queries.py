@@ -388,12 +388,13 @@ def verify_date(r):
     return _flat(r, rules.verify_date(F.when(F.col("id") % 43 == 0, F.lit("35/14/2022")).otherwise(F.col("dob"))))
 
 
-_EXTRA = """, ex AS (SELECT id, json_extract_string(extra_fields, '$."Father / Guardian"') AS father_x, json_extract_string(extra_fields, '$.Taluk') AS o1, json_extract_string(extra_fields, '$."Annual Income"') AS o2 FROM records)"""
-_FLAGS = _EXTRA + f""", f AS (SELECT records.id, document_type, verification_status AS cur, nullif(trim(certificate_number), '') AS c, nullif(trim(aadhaar_number), '') AS a, nullif(trim(citizen_name), '') AS n, nullif(trim(district), '') AS v, nullif(trim(father_x), '') AS p, dob, issue_date, o1, o2 FROM records JOIN ex ON ex.id = records.id),
-g AS (SELECT id, cur, CASE WHEN document_type IN ('Community Certificate', 'Income Certificate', 'Birth Certificate') THEN (c IS NULL OR (NOT {_SHAPES.format('c')} AND (regexp_matches(c, {_q(_ODD)}) OR (c LIKE 'TN%' AND c NOT LIKE 'TN-%' AND length(c) > 4) OR length(c) < 6)))::INT END AS fc,
+_EXTRA = f""", o AS (SELECT * FROM (SELECT id, k AS field, json_extract_string(extra_fields, '$."' || k || '"') AS v FROM records, (VALUES ('Taluk'), ('Annual Income'), ('Community'), ('Gender'), ('PAN Number'), ('Driving Licence Number')) t(k)) WHERE trim(v) <> ''),
+ b AS (SELECT id, field, regexp_matches(v, {_q(_ODD)}) AS odd FROM o), ob AS (SELECT id, count(*) AS n, count_if(odd) AS odds FROM b GROUP BY id)"""
+_FLAGS = _EXTRA + f""", f AS (SELECT r.id, document_type, verification_status AS cur, nullif(trim(certificate_number), '') AS c, nullif(trim(aadhaar_number), '') AS a, nullif(trim(citizen_name), '') AS n, nullif(trim(district), '') AS v, nullif(trim(json_extract_string(extra_fields, '$."Father / Guardian"')), '') AS p, dob, issue_date, ob.n AS others, ob.odds FROM records r LEFT JOIN ob ON ob.id = r.id),
+g AS (SELECT id, cur, others, odds, CASE WHEN document_type IN ('Community Certificate', 'Income Certificate', 'Birth Certificate') THEN (c IS NULL OR (NOT {_SHAPES.format('c')} AND (regexp_matches(c, {_q(_ODD)}) OR (c LIKE 'TN%' AND c NOT LIKE 'TN-%' AND length(c) > 4) OR length(c) < 6)))::INT END AS fc,
  CASE WHEN document_type = 'Aadhaar Card' OR a IS NOT NULL THEN (a IS NULL OR length(regexp_replace(a, '\\D', '', 'g')) <> 12)::INT END AS fa, (n IS NULL OR regexp_matches(n, '\\d'))::INT AS fn, (v IS NOT NULL AND NOT {_KNOWN})::INT AS fd,
- regexp_matches(p, '\\d')::INT AS fp, (dob <> '')::INT AS hb, (issue_date <> '')::INT AS hi, CASE WHEN o1 <> '' THEN regexp_matches(o1, {_q(_ODD)})::INT END AS f1, CASE WHEN o2 <> '' THEN regexp_matches(o2, {_q(_ODD)})::INT END AS f2 FROM f),
-v AS (SELECT id, cur, (coalesce(fc, 0) + coalesce(fa, 0) + fn + fd + coalesce(fp, 0) + coalesce(f1, 0) + coalesce(f2, 0))::BIGINT AS flagged, ((fc IS NOT NULL)::INT + (fa IS NOT NULL)::INT + 2 + (fp IS NOT NULL)::INT + coalesce(hb, 0) + coalesce(hi, 0) + (f1 IS NOT NULL)::INT + (f2 IS NOT NULL)::INT)::BIGINT AS fields FROM g),
+ regexp_matches(p, '\\d')::INT AS fp, (dob <> '')::INT AS hb, (issue_date <> '')::INT AS hi FROM f),
+v AS (SELECT id, cur, (coalesce(fc, 0) + coalesce(fa, 0) + fn + fd + coalesce(fp, 0) + coalesce(odds, 0))::BIGINT AS flagged, ((fc IS NOT NULL)::INT + (fa IS NOT NULL)::INT + 2 + (fp IS NOT NULL)::INT + coalesce(hb, 0) + coalesce(hi, 0) + coalesce(others, 0))::BIGINT AS fields FROM g),
 vs AS (SELECT id, flagged, fields, CASE WHEN cur = 'manually_verified' THEN cur WHEN flagged > 0 THEN 'needs_review' ELSE 'auto_verified' END AS status FROM v)"""
 
 
@@ -402,8 +403,7 @@ def verification_report(r):
     return dashboard.verification_report(r)
 
 
-@query(_EXTRA + f""", o AS (SELECT id, 'Taluk' AS field, o1 AS v FROM ex UNION ALL SELECT id, 'Annual Income', o2 FROM ex), b AS (SELECT id, field, regexp_matches(v, {_q(_ODD)}) AS odd FROM o WHERE v <> '')
-SELECT id, field, odd AS flagged, (CASE WHEN odd THEN 0.60 ELSE 0.95 END)::DOUBLE AS confidence, CASE WHEN odd THEN 'Uncertain OCR characters detected' ELSE '' END AS reasons FROM b""")
+@query(_EXTRA + " SELECT id, field, odd AS flagged, (CASE WHEN odd THEN 0.60 ELSE 0.95 END)::DOUBLE AS confidence, CASE WHEN odd THEN 'Uncertain OCR characters detected' ELSE '' END AS reasons FROM b")
 def verify_extra_fields(r):
     return dashboard.verify_others(r)
 
@@ -452,8 +452,12 @@ def cross_field_checks(r):
 
 
 _REQ = " UNION ALL ".join(f"SELECT {_q(k)} AS document_type, {_q(f)} AS field" for k, fs in vocab.REQUIRED.items() for f in fs)
-_FIELDS = """, kv AS (SELECT id, 'Citizen Name' AS field, citizen_name AS v FROM records UNION ALL SELECT id, 'Certificate Number', certificate_number FROM records UNION ALL SELECT id, 'Aadhaar Number', aadhaar_number FROM records
- UNION ALL SELECT id, 'Date of Birth', dob FROM records UNION ALL SELECT id, 'District', district FROM records UNION ALL SELECT id, 'Annual Income', annual_income FROM records UNION ALL SELECT id, 'Father''s Name', father FROM records)"""
+_KEYS = ", ".join(f"({_q(k)})" for k in ("Taluk", "Father / Guardian", "Annual Income", "Father's Name", "Community", "Gender", "PAN Number", "Driving Licence Number", "Applicant Name"))
+_COLUMNS = " UNION ALL ".join(f"SELECT id, {_q(k)} AS field, {c} AS v FROM records WHERE {c} <> ''" for k, c in corrections.COLUMNS.items())
+#: A record's fields: those of its JSON, its columns, and aliases where there is neither.
+_FIELDS = f""", kv0 AS (SELECT * FROM (SELECT id, k AS field, json_extract_string(extra_fields, '$."' || k || '"') AS v FROM records, (VALUES {_KEYS}) t(k)) WHERE v IS NOT NULL UNION ALL {_COLUMNS}),
+kv AS (SELECT * FROM kv0 UNION ALL SELECT id, 'Citizen Name', v FROM kv0 WHERE field = 'Applicant Name' AND v <> '' AND id NOT IN (SELECT id FROM kv0 WHERE field = 'Citizen Name')
+ UNION ALL SELECT id, 'Certificate Number', v FROM kv0 WHERE field IN ('PAN Number', 'Driving Licence Number') AND v <> '' AND id NOT IN (SELECT id FROM kv0 WHERE field = 'Certificate Number'))"""
 
 
 @query(f"{_FIELDS}, req AS ({_REQ}), want AS (SELECT r.id, q.field FROM records r JOIN req q ON q.document_type = CASE WHEN r.document_type IN (SELECT document_type FROM req) THEN r.document_type ELSE 'Generic Document' END) SELECT w.id, w.field, coalesce(trim(kv.v), '') <> '' AS present FROM want w LEFT JOIN kv ON kv.id = w.id AND kv.field = w.field")
@@ -462,8 +466,9 @@ def required_presence(r):
 
 
 _FORMAT = (
-    "CASE WHEN field = 'Date of Birth' THEN CASE WHEN " + _DAY.format("v") + " IS NULL THEN 'Failed' ELSE 'Passed' END WHEN field = 'Aadhaar Number' THEN CASE WHEN NOT regexp_matches(regexp_replace(v, '\\s+', '', 'g'), '^\\d{12}$') THEN 'Failed' ELSE 'Passed' END"
-    + f" WHEN field = 'Certificate Number' THEN CASE WHEN regexp_matches(v, '[?~*!^]') THEN 'Warning' ELSE 'Passed' END WHEN field = 'District' THEN CASE WHEN {_KNOWN} THEN 'Passed' ELSE 'Warning' END WHEN field IN ('Citizen Name', 'Father''s Name') THEN CASE WHEN regexp_matches(v, '\\d') THEN 'Warning' ELSE 'Passed' END ELSE 'Passed' END"
+    "CASE WHEN field IN ('Date of Birth', 'Issue Date') THEN CASE WHEN " + _DAY.format("v") + " IS NULL THEN 'Failed' ELSE 'Passed' END WHEN field = 'Aadhaar Number' THEN CASE WHEN NOT regexp_matches(regexp_replace(v, '\\s+', '', 'g'), '^\\d{12}$') THEN 'Failed' ELSE 'Passed' END"
+    " WHEN field = 'PAN Number' THEN CASE WHEN regexp_matches(upper(v), '^[A-Z]{5}[0-9]{4}[A-Z]$') THEN 'Passed' ELSE 'Failed' END WHEN field = 'Driving Licence Number' THEN CASE WHEN length(regexp_replace(v, '[\\s-]', '', 'g')) < 9 THEN 'Warning' ELSE 'Passed' END WHEN field = 'Annual Income' THEN CASE WHEN regexp_matches(v, '[1-9]') THEN 'Passed' ELSE 'Failed' END"
+    + f" WHEN field = 'Certificate Number' THEN CASE WHEN length(v) < 5 OR regexp_matches(v, '[?~*!^]') THEN 'Warning' ELSE 'Passed' END WHEN field = 'District' THEN CASE WHEN {_KNOWN} THEN 'Passed' ELSE 'Warning' END WHEN field IN ('Citizen Name', 'Father''s Name', 'Applicant Name') THEN CASE WHEN regexp_matches(v, '\\d') THEN 'Warning' ELSE 'Passed' END ELSE 'Passed' END"
 )
 
 
@@ -482,11 +487,13 @@ _CHECKED = f"""{_FIELDS}, req AS ({_REQ}), opt AS ({_OPT}), ty AS (SELECT id, CA
 p AS (SELECT kv.id, kv.field, trim(kv.v) AS v, ty.t FROM kv JOIN ty ON ty.id = kv.id WHERE trim(kv.v) <> ''),
 f1 AS (SELECT id, field, CASE WHEN EXISTS (SELECT 1 FROM (SELECT * FROM req UNION ALL SELECT * FROM opt) a WHERE a.document_type = t AND a.field = p.field) THEN {_FORMAT} ELSE 'Passed' END AS status FROM p),
 f2 AS (SELECT ty.id, req.field, 'Failed' AS status FROM ty JOIN req ON req.document_type = ty.t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = ty.id AND p.field = req.field)),
-days AS (SELECT id, {_DAY.format("dob")} AS b, {_DAY.format("issue_date")} AS i FROM records),
+by_key AS (SELECT r.id, max(v) FILTER (field = 'Citizen Name') AS name, coalesce(max(nullif(v, '')) FILTER (field = 'Father''s Name'), max(nullif(v, '')) FILTER (field = 'Father / Guardian')) AS father, max(nullif(v, '')) FILTER (field = 'Taluk') AS taluk, max(v) FILTER (field = 'District') AS district,
+  max(v) FILTER (field = 'Date of Birth') AS dob, max(v) FILTER (field = 'Issue Date') AS issue_date FROM records r LEFT JOIN kv ON kv.id = r.id GROUP BY r.id),
+days AS (SELECT id, {_DAY.format("dob")} AS b, {_DAY.format("issue_date")} AS i FROM by_key),
 f3 AS (SELECT id, 'date' AS field, CASE WHEN i > DATE '{AS_OF}' OR i < b THEN 'Failed' WHEN b IS NOT NULL AND i IS NOT NULL THEN 'Passed' END AS status FROM days),
-cl AS (SELECT id, district, {_CLEAN.format("citizen_name")} AS a, {_CLEAN.format("father")} AS b, {_TALUK_SQL.format("taluk")} AS m FROM records),
+cl AS (SELECT id, district, {_CLEAN.format("name")} AS a, {_CLEAN.format("father")} AS b, {_TALUK_SQL.format("taluk")} AS m FROM by_key),
 f4 AS (SELECT id, 'parent' AS field, CASE WHEN lower(a) = lower(b) AND length(a) > 2 THEN 'Warning' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'Passed' END AS status FROM cl),
-f5 AS (SELECT id, 'place' AS field, CASE WHEN m IS NULL OR district = '' THEN NULL WHEN lower(m) <> lower(trim(district)) THEN 'Warning' ELSE 'Passed' END AS status FROM cl),
+f5 AS (SELECT id, 'place' AS field, CASE WHEN m IS NULL OR district IS NULL THEN NULL WHEN lower(m) <> lower(trim(district)) THEN 'Warning' ELSE 'Passed' END AS status FROM cl),
 al AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4 UNION ALL SELECT * FROM f5),
 cons AS (SELECT id, count(*) FILTER (status = 'Failed') AS failed, count(*) FILTER (status = 'Warning') AS warnings, count(*) FILTER (status = 'Passed') AS passed FROM al GROUP BY id)"""
 
@@ -496,10 +503,7 @@ def consistency_report(r):
     return dashboard.consistency(r, AS_OF)
 
 
-@query(_CHECKED + f""", f AS (SELECT id, document_type, nullif(trim(certificate_number), '') AS c, nullif(trim(aadhaar_number), '') AS a, nullif(trim(citizen_name), '') AS n, nullif(trim(district), '') AS v FROM records),
-g AS (SELECT id, (document_type IN ('Community Certificate', 'Income Certificate', 'Birth Certificate') AND (c IS NULL OR (NOT {_SHAPES.format('c')} AND (regexp_matches(c, {_q(_ODD)}) OR (c LIKE 'TN%' AND c NOT LIKE 'TN-%' AND length(c) > 4) OR length(c) < 6))))
- OR (document_type = 'Aadhaar Card' OR a IS NOT NULL) AND (a IS NULL OR length(regexp_replace(a, '\\D', '', 'g')) <> 12) OR n IS NULL OR regexp_matches(n, '\\d') OR (v IS NOT NULL AND NOT {_KNOWN}) AS flagged FROM f)
-SELECT g.id, CASE WHEN flagged OR cons.failed > 0 THEN 'needs_review' ELSE 'auto_verified' END AS status FROM g JOIN cons ON cons.id = g.id""")
+@query(_CHECKED + _FLAGS + " SELECT vs.id, CASE WHEN vs.flagged > 0 OR cons.failed > 0 THEN 'needs_review' ELSE 'auto_verified' END AS status FROM vs JOIN cons ON cons.id = vs.id")
 def initial_status(r):
     return dashboard.initial_status(r, AS_OF)
 
@@ -528,7 +532,7 @@ _COMPLETE = f"{_FIELDS}, req AS ({_REQ}), want AS (SELECT r.id, q.field FROM rec
 
 @query(_COMPLETE + " SELECT id, present, required, score FROM comp")
 def completeness_score(r):
-    return r.select("id", rules.completeness(F.col("document_type"), dashboard.field_map()).alias("x")).select("id", F.col("x.present").cast("long").alias("present"), F.col("x.required").cast("long").alias("required"), F.col("x.score").alias("score"))
+    return dashboard.with_fields(r).select("id", rules.completeness(F.col("document_type"), F.col("_m")).alias("x")).select("id", F.col("x.present").cast("long").alias("present"), F.col("x.required").cast("long").alias("required"), F.col("x.score").alias("score"))
 
 
 _SCORED = _COMPLETE + f""", s AS (SELECT r.id, c.score AS c, CASE WHEN r.blur IS NOT NULL OR r.brightness IS NOT NULL OR r.skew IS NOT NULL THEN {_IMG} END AS i, {_OCR} AS o FROM records r JOIN comp c ON c.id = r.id),
@@ -654,9 +658,7 @@ def dedup_decision(r):
     return dedup.decision(r)
 
 
-@query("""SELECT id, 'Citizen Name' AS field, citizen_name AS v FROM records WHERE citizen_name <> '' UNION ALL SELECT id, 'Certificate Number', certificate_number FROM records WHERE certificate_number <> '' UNION ALL SELECT id, 'Aadhaar Number', aadhaar_number FROM records WHERE aadhaar_number <> ''
- UNION ALL SELECT id, 'District', district FROM records WHERE district <> '' UNION ALL SELECT id, 'Date of Birth', dob FROM records WHERE dob <> '' UNION ALL SELECT id, 'Issue Date', issue_date FROM records WHERE issue_date <> ''
- UNION ALL SELECT id, k, json_extract_string(extra_fields, '$."' || k || '"') FROM records, (VALUES ('Taluk'), ('Father / Guardian'), ('Annual Income')) t(k)""")
+@query(_FIELDS + " SELECT id, field, v FROM kv0")
 def hydrated_fields(r):
     return r.select("id", F.explode(corrections.hydrated()).alias("field", "v"))
 

@@ -44,7 +44,10 @@ select id,
   else 'STUDENT   PERMISSION FORM' || chr(10) || chr(10) || '  Name: ' || nm || case when id % 2 = 0 then chr(10) || 'PAN: ABCDE' || lpad(cast(id % 10000 as varchar(4)),4,'0') || 'F' else chr(10) || 'DL No: TN38 2011' || lpad(cast(id % 10000000 as varchar(7)),7,'0') end end
   || chr(10) || case when q13=0 then '' else 'District: ' || dist || chr(10) end || case when id % 11 = 0 then taluk || ' Taluk' || chr(10) else '' end || 'Date: ' || dd || '/' || mm || '/' || yy as ocr_text,
  '/store/doc' || cast(id as varchar(20)) || case when id % 6 = 0 then '.PDF' when id % 6 = 1 then '.jpeg' when id % 6 = 2 then '.txt' else '.png' end as file_path,
- '{{"Taluk": "' || taluk || '", "Father / Guardian": "' || fat || case when id % 15 = 0 then ' ' || nm else '' end || '", "Annual Income": "Rs. ' || cast(inc as varchar(20)) || '"}}' as extra_fields,
+ '{{"Taluk": "' || taluk || '", "Father / Guardian": "' || fat || case when id % 15 = 0 then ' ' || nm else '' end || '", "Annual Income": "Rs. ' || cast(inc as varchar(20)) || '"'
+  || case k when 1 then ', "Father''s Name": "' || case when id % 15 = 0 then nm else fat end || '"' when 2 then ', "Community": "Backward Class' || case when id % 26 = 0 then ' ?' else '' end || '"' when 3 then ', "Gender": "' || case when id % 2 = 0 then 'Male' else 'Female' end || '"'
+    when 4 then case when id % 2 = 0 then ', "PAN Number": "ABCDE' || lpad(cast(id % 10000 as varchar(4)),4,'0') || case when id % 22 = 0 then '9' else 'F' end || '"' else ', "Driving Licence Number": "TN38' || case when id % 21 = 0 then '' else ' 2011' || lpad(cast(id % 10000000 as varchar(7)),7,'0') end || '"' end else '' end
+  || case when id % 58 = 0 then ', "Applicant Name": "' || nm || '"' else '' end || '}}' as extra_fields,
  case cast(id % 4 as int) when 0 then 'auto_verified' when 1 then 'needs_review' when 2 then 'manually_verified' else 'reviewed' end as verification_status,
  taluk, case when id % 15 = 0 then nm else fat end as father, 'Rs. ' || cast(inc as varchar(20)) as annual_income,
  case when id % 10 = 9 then null else cast(id % 160 as double) end as blur, case when id % 9 = 8 then null else cast(id % 240 as double) end as brightness,
