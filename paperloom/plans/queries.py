@@ -145,9 +145,9 @@ def filtered_count(r):
     return dashboard.filtered(r, kind="Birth Certificate", status="needs_review").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, coalesce(nullif(citizen_name, ''), json_extract_string(extra_fields, '$."Father / Guardian"')) AS shown_name, coalesce(nullif(district, ''), json_extract_string(extra_fields, '$.Taluk')) AS shown_place FROM records""")
+@query("""SELECT id, coalesce(nullif(citizen_name, ''), json_extract_string(extra_fields, '$."Applicant Name"')) AS shown_name, nullif(district, '') AS shown_place FROM records""")
 def doc_listing(r):
-    return dashboard.listing(r, ("Citizen Name", "Father / Guardian"), ("District", "Taluk"))
+    return dashboard.listing(r, ("Citizen Name", "Applicant Name", "Name", "Child Name"), ("District",))
 
 
 @query("SELECT id, document_type, issue_date FROM records ORDER BY id DESC LIMIT 5")
@@ -669,9 +669,9 @@ def hydrated_fields(r):
 _CHANGES = ", ch AS (SELECT id, 'Citizen Name' AS field, citizen_name AS old, 'Corrected ' || id AS new FROM records WHERE id % 50 = 0 UNION ALL SELECT id, 'District', district, CASE WHEN id % 100 = 0 THEN district ELSE 'Salem' END FROM records WHERE id % 50 = 0)"
 
 
-@query(_CHANGES + " SELECT id, field, old AS old_value, new AS new_value, 'officer' AS corrected_by FROM ch WHERE coalesce(old, '') <> new")
+@query(_CHANGES + f" SELECT id AS document_id, field AS field_name, coalesce(old, '') AS old_value, new AS new_value, 'officer' AS corrected_by, '{NOW}' AS corrected_at, 'checked by hand' AS notes FROM ch WHERE coalesce(old, '') <> new")
 def audit_rows(r):
-    return corrections.changed(r, corrections.sample(r)).select("id", "field", "old_value", "new_value", F.lit("officer").alias("corrected_by"))
+    return corrections.audit(r, corrections.sample(r), "officer", NOW, "checked by hand")
 
 
 @query(_CHANGES + " SELECT count(*) AS changes, count(DISTINCT id) AS records FROM ch WHERE coalesce(old, '') <> new")
@@ -679,9 +679,18 @@ def correction_diff(r):
     return corrections.changed(r, corrections.sample(r)).agg(F.count("*").alias("changes"), F.countDistinct("id").alias("records"))
 
 
-@query("SELECT id, CASE WHEN id % 50 = 0 THEN 'Corrected ' || id ELSE citizen_name END AS citizen_name, CASE WHEN id % 50 = 0 AND id % 100 <> 0 THEN 'Salem' ELSE district END AS district, CASE WHEN id % 50 = 0 THEN 'manually_verified' ELSE verification_status END AS verification_status FROM records")
+@query(f"""SELECT id, CASE WHEN id % 50 = 0 THEN 'Corrected ' || id ELSE citizen_name END AS citizen_name, certificate_number, aadhaar_number, dob, CASE WHEN id % 50 = 0 AND id % 100 <> 0 THEN 'Salem' ELSE district END AS district, issue_date,
+ CASE WHEN id % 50 = 0 THEN 'Corrected ' || id END AS json_name, CASE WHEN id % 100 = 0 THEN trim(district) WHEN id % 50 = 0 THEN 'Salem' END AS json_district, taluk AS json_taluk,
+ CASE WHEN id % 50 = 0 THEN 'manually_verified' ELSE verification_status END AS verification_status, CASE WHEN id % 50 = 0 THEN 'officer' END AS verified_by, CASE WHEN id % 50 = 0 THEN '{NOW}' END AS verified_at FROM records""")
 def apply_corrections(r):
-    return corrections.apply(r, corrections.sample(r)).select("id", "citizen_name", "district", "verification_status")
+    x = corrections.apply(store.conform(r), corrections.sample(r), "officer", NOW, "checked by hand")
+    json = lambda c, k: F.try_element_at(F.from_json(c, "map<string,string>"), F.lit(k))
+    return x.select("id", "citizen_name", "certificate_number", "aadhaar_number", "dob", "district", "issue_date", json("extra_fields", "Citizen Name").alias("json_name"), json("extra_fields", "District").alias("json_district"), json("extra_fields", "Taluk").alias("json_taluk"), "verification_status", "verified_by", "verified_at")
+
+
+@query(_CHANGES + f" SELECT id, '{NOW}' AS at, 'officer' AS reviewer, field, coalesce(old, '') AS old_value, new AS new_value, 'checked by hand' AS notes FROM ch WHERE coalesce(old, '') <> new")
+def correction_entries(r):
+    return corrections.history_entries(corrections.apply(store.conform(r), corrections.sample(r), "officer", NOW, "checked by hand"))
 
 
 @query(f"SELECT id, CASE WHEN id = 7 THEN 'reviewed' ELSE verification_status END AS verification_status, CASE WHEN id = 7 THEN 'officer' END AS verified_by, CASE WHEN id = 7 THEN '{NOW}' END AS verified_at FROM records")

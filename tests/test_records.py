@@ -216,7 +216,7 @@ def test_pages_and_store(spark, tmp_path):
     (tmp_path / "in/b.txt").write_bytes(b"x")
     assert [x.length for x in store.uploads(spark, str(tmp_path / "in")).collect()] == [1]
     assert dashboard.filtered(r, search="%").count() >= 1 and dashboard.filtered(r, search="\\b").count() == 0
-    assert corrections.apply(r, corrections.sample(r)).count() == 20
+    assert corrections.apply(r, corrections.sample(r), "officer", "now").count() == 20
 
 
 def test_stream_takes_each_record_once(spark, tmp_path):
