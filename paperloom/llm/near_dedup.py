@@ -18,18 +18,18 @@ everything else works on class representatives (the smallest id).
 * A bit of each value travels along as a sketch; pairs whose sketches agree on
   less than MIN_AGREE of the bits (about four deviations below what the
   threshold gives) are not candidates.
-* Links are confirmed on the full shingle sets, in rounds: first the two best
-  candidates of each representative; then all candidates whose ends are still in
+* Links are confirmed on the full shingle sets, in rounds: first two
+  good candidates of each representative; then all candidates whose ends are still in
   different components, and for the noted members also their NEAREST members of
   other components by sketch, in each region of up to WIDE members (wider ones
-  by the next value, or along the order), up to TURNS times while that finds
-  links. These rounds only save work for the last one, which has no such bounds:
-  all pairs of noted members that share a region anywhere and are still in
-  different components (`_cells`). A candidate inside a component would add no
-  reachability, so large linked groups are confirmed by a number of pairs that
-  grows with their size; one of n texts that look alike and aren't linked takes
-  the square of n.
-* Components by large-star/small-star on tables (`components`).
+  by the next value, or along the order). These rounds only save work for the
+  last one, which has no such bounds: the noted members that share a region with
+  another component are joined by their rarest shingles, with the bounds of
+  prefix and place that a similarity join has (`rest_of`), whatever the size of
+  the region. Texts that are alike in what many share and differ in what is rare
+  never meet there, so a family of unlinked texts doesn't make all its pairs. A
+  candidate inside a component would add no reachability.
+* Components by parents of parents on tables (`components`).
 
 With a similarity of 0.75 two texts share a prefix of SHALLOW values in a given
 order with probability 0.32, and in none of 32 with 0.000005.
@@ -52,13 +52,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, told_apart
 from .components import components
 from .shingles import N, common, normalised, shingle_hashes
 
 TREES, SHALLOW, DEPTH = 32, 4, 8
 VALUES = TREES * SHALLOW
-SMALL, WIDE, NEAREST, TURNS = 6, 2048, 8, 3
+SMALL, WIDE, NEAREST = 6, 2048, 8
 #: Members on either side of a cell in the last round.
 CELL = 1024
 MIN_AGREE = 93  # of 128 sketch bits; expected are 112 at 0.75, 64 for unlike texts
@@ -238,37 +238,59 @@ def _candidates(foreign: bool):
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a left and a right member of different components in each cell; rows come cell by cell."""
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, component, sketch, text) to the shingles as signed numbers."""
+    for batch in batches:
+        sets = [shingle_hashes(normalised(t.as_py())).view(np.int64) for t in batch.column(3)]
+        ends = np.cumsum([0, *map(len, sets)])
+        flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
+        for lo in range(0, len(sets), 256):  # small batches: the lists are opened next
+            hi = min(lo + 256, len(sets))
+            lists = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), flat[ends[lo] : ends[hi]])
+            yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:3]), lists], ["id", "component", "sketch", "shingles"])
+
+
+def _cells(percent: int):
+    """The pairs of a left and a right member of different components in each cell that may still reach the similarity; rows come cell by cell.
+
+    `rest` is how many shingles a member has from the shared one on: two members
+    that first meet there share no more than the smaller rest.
+    """
 
-    def pairs(left: np.ndarray, ids: np.ndarray, sketch: np.ndarray, component: np.ndarray, few: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(left: np.ndarray, ids: np.ndarray, sketch: np.ndarray, component: np.ndarray, few: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
         x, y = np.flatnonzero(left), np.flatnonzero(~left)
-        for lo in range(0, len(x), 64):
+        for lo in range(0, len(x), 256):
             for at in range(0, len(y), CELL):
-                i, j = x[lo : lo + 64, None], y[None, at : at + CELL]
-                agree = 128 - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=2, dtype=np.int64)
+                i, j = x[lo : lo + 256, None], y[None, at : at + CELL]
+                can = (100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j])
                 # two members outside the commonest component meet in both roles
-                r, c = np.nonzero((agree >= MIN_AGREE) & (component[i] != component[j]) & ((ids[i] < ids[j]) | (~few[j] & (ids[i] != ids[j]))))
+                r, c = np.nonzero(can & (component[i] != component[j]) & ((ids[i] < ids[j]) | (~few[j] & (ids[i] != ids[j]))))
                 if len(r):
-                    a, b = ids[i[r, 0]], ids[j[0, c]]
+                    i, j = i[r, 0], j[0, c]
+                    alike = 128 - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) >= MIN_AGREE
+                    a, b = ids[i[alike]], ids[j[alike]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    kept: tuple[np.ndarray, ...] | None = None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        cell, sketch = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in (0, 3))
-        left, ids, component, few = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4, 5))
-        now = (cell, left.astype(bool), ids, sketch.view(np.uint64), component, few.astype(bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2)], axis=1).astype(np.int64)
+            left, few = (batch.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (3, 7))
+            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            ids, component, n, rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 6, 8, 9))
+            now = (cell, left, ids, sketch, component, few, n, rest)
+            if kept is not None:
+                now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
+            edges = [0, *(1 + np.flatnonzero((now[0][1:] != now[0][:-1]).any(axis=1))).tolist()]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                yield from pairs(*(x[lo:hi] for x in now[1:]))
+            kept = tuple(x[edges[-1] :] for x in now)
         if kept is not None:
-            now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
-        edges = [0, *(1 + np.flatnonzero((now[0][1:] != now[0][:-1]).any(axis=1))).tolist()]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            yield from pairs(*(x[lo:hi] for x in now[1:]))
-        kept = tuple(x[edges[-1] :] for x in now)
-    if kept is not None:
-        yield from pairs(*kept[1:])
+            yield from pairs(*kept[1:])
+
+    return run
 
 
 def _verify(percent: int):
@@ -312,25 +334,43 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
         ordered = leaves.repartitionByRange(parts, "label").sortWithinPartitions("label", "id")
         return ordered.mapInArrow(_candidates(foreign), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
-    def everywhere(members: DataFrame) -> DataFrame:
-        """All pairs of members of different components that share a region, whatever its size.
+    def rest_of(members: DataFrame) -> DataFrame:
+        """Pairs of members of different components that may reach the similarity, by their rarest shingles.
 
-        In a region each member outside its commonest component meets all
-        others, in cells of about CELL by CELL members, so that no region is
-        one task's work.
+        Only members that share a region with another component count. Their
+        shingles are put in one order, rare ones first. Two sets of the
+        similarity have a common shingle among the first of each, and from the
+        first common one on each has as many as they must share; so members meet
+        at each shingle that isn't too late in their order. At a shingle, each
+        member outside its commonest component meets all others, in cells of
+        about CELL by CELL members, so that no shingle is one task's work.
         """
         leaves = members.mapInArrow(_leaves, "label binary, id long, sketch binary, component long")
-        leaves = leaves.select(F.substring("label", 1, 1 + 2 * SHALLOW).alias("region"), "id", "sketch", "component")
-        most = leaves.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
-        mixed = most.filter("n > most.n").select("region", F.col("most.component").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / CELL).cast("int").alias("rows"), F.ceil(F.col("n") / CELL).cast("int").alias("cols"))
-        x = leaves.join(mixed.hint("merge"), "region").withColumn("few", F.col("component") != F.col("most"))
+        leaves = leaves.select(F.substring("label", 1, 1 + 2 * SHALLOW).alias("region"), "id", "component")
+        sizes = leaves.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        mixed = leaves.join(sizes.filter("least <> most").select("region").hint("merge"), "region", "left_semi").select("id").distinct()
+        some = members.join(mixed.withColumnRenamed("id", "rep").hint("merge"), "rep", "left_semi").select(F.col("rep").alias("id"), "component", F.expr(f"substring(sig, {2 * VALUES + 1}, 16)").alias("sketch"))
+        listed = some.join(texts.hint("merge"), "id").select("id", "component", "sketch", "text").mapInArrow(_listed, "id long, component long, sketch binary, shingles array<long>")
+        listed = materialize(listed.withColumn("n", F.size("shingles").cast("long")))
+        each = listed.select("id", "n", F.explode("shingles").alias("shingle"))
+        shared = listed.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
+        ranked = each.join(shared.hint("merge"), "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("in_order"))  # a member's own shingles
+        # a member's other shingles come first: nobody else has them
+        alone = F.col("n") - F.size("in_order")
+        late = F.floor(F.col("n") * (100 - percent) / 100.0 + 1e-9).cast("long")
+        early = ranked.filter(alone <= late).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("in_order", F.lit(1), (late - alone + 1).cast("int"))).alias("k", "s"))
+        posted = early.select("id", F.col("s.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("k")).alias("rest"))
+        posted = posted.join(listed.select("id", "component", "sketch", "n").hint("merge"), "id")
+        most = posted.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("most"))
+        mixed = most.filter("m > most.m").select("shingle", F.col("most.component").alias("most"), F.ceil((F.col("m") - F.col("most.m")) / CELL).cast("int").alias("rows"), F.ceil(F.col("m") / CELL).cast("int").alias("cols"))
+        x = posted.join(mixed.hint("merge"), "shingle").withColumn("few", F.col("component") != F.col("most"))
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         cells = lambda n, at: F.transform(F.sequence(F.lit(0), F.col(n) - 1), at)
-        cell = lambda i, j, left: F.struct(F.concat("region", F.unhex(F.lpad(F.hex(i), 8, "0")), F.unhex(F.lpad(F.hex(j), 8, "0"))).alias("cell"), F.lit(left).alias("left"))
+        cell = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
         right = cells("rows", lambda i: cell(i, place("cols"), False))
         both = F.concat(right, cells("cols", lambda j: cell(place("rows"), j, True)))
-        x = x.select(F.explode(F.when(F.col("few"), both).otherwise(right)).alias("at"), "id", "sketch", "component", "few").select("at.cell", "at.left", "id", "sketch", "component", "few")
-        return x.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long").distinct()
+        x = x.select("shingle", F.explode(F.when(F.col("few"), both).otherwise(right)).alias("at"), "id", "sketch", "component", "few", "n", "rest").select("shingle", "at.i", "at.j", "at.left", "id", "sketch", "component", "few", "n", "rest")
+        return x.repartition(parts, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_cells(percent), "a long, b long").distinct()
 
     found_pairs = materialize(candidates(classes.select("rep", "sig", F.lit(0).cast("long")), False))
     pairs, dense = found_pairs.filter("a < b"), found_pairs.filter("a = b").select(F.col("a").alias("rep"))
@@ -346,32 +386,27 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
 
     best = F.struct((-F.col("agree")).alias("w"), F.col("to").alias("to"))
     ways = pairs.select(F.col("a").alias("x"), F.col("b").alias("to"), "agree").union(pairs.select(F.col("b").alias("x"), F.col("a").alias("to"), "agree"))
-    first = ways.groupBy("x").agg(F.min(best).alias("m"))
-    second = ways.join(first, "x").filter("to <> m.to").groupBy("x").agg(F.min(best).alias("m"))
-    chosen = first.union(second).select(F.least("x", "m.to").alias("a"), F.greatest("x", "m.to").alias("b")).distinct()
+    # two for each: the best of either half of the others, so that no hub's candidates are joined
+    best_two = ways.groupBy("x", F.pmod(F.xxhash64("to"), F.lit(2)).alias("half")).agg(F.min(best).alias("m"))
+    chosen = best_two.select(F.least("x", "m.to").alias("a"), F.greatest("x", "m.to").alias("b")).distinct()
     chosen = materialize(chosen)
     links = materialize(confirm(chosen))
     found = materialize(components(links))
 
-    tried, proposed, whole = chosen, pairs.select("a", "b"), False
-    for turn in range(TURNS + 1):
-        whole = whole or turn == TURNS
+    tried, proposed = chosen, pairs.select("a", "b")
+    for whole in (False, True):
         known = found.select(F.col("node").alias("rep"), "component")
         members = classes.join(dense, "rep", "left_semi").join(known, "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("component"))
-        near = everywhere(members) if whole else candidates(members, True).filter("a < b").select("a", "b")
-        rest = proposed.union(near).distinct().join(tried, ["a", "b"], "left_anti")
+        near = rest_of(members) if whole else proposed.union(candidates(members, True).filter("a < b").select("a", "b")).distinct()
+        rest = near.join(tried, ["a", "b"], "left_anti")
         for end in ("a", "b"):
             rest = rest.join(known.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}")), end, "left")
         rest = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
         more = materialize(confirm(rest))
-        fresh = not more.isEmpty()
-        if fresh:
-            links = links.union(more)
-            found = materialize(components(links))
-        if whole:
-            break
-        # candidates in different components have all been tried now
-        tried, proposed, whole = tried.union(rest), rest.limit(0), not fresh
+        if not more.isEmpty():
+            stars = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+            found = materialize(components(stars.union(more)))
+        tried = tried.union(rest)
 
     of_class = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "key", "n_shingles").join(of_class, "key", "left")
@@ -380,6 +415,17 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component that stays, all columns as they were."""
-    kept = near_dedup(docs, percent, id_col, text_col).filter("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component, that of the smallest id, all columns as they were.
+
+    Of repeated rows one stays; a row with a null id stays if its component has
+    no other; rows without words are copies of nothing, so all of them stay.
+    """
+    rows, row = told_apart(docs, id_col)
+    found = near_dedup(rows, percent, row, text_col)
+    if row == id_col:
+        kept = found.filter("kept").select(row)
+    else:
+        key = F.col(f"`{id_col}`")
+        ranked = found.join(rows.select(row, F.struct(key.isNull(), key, F.col(row)).alias("rank")), row)
+        kept = ranked.groupBy("component_id").agg(F.min("rank").alias("best")).select(F.col(f"best.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
