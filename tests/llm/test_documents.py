@@ -209,12 +209,34 @@ def test_viterbi_of_the_model():
     assert score(m.states(x)) == pytest.approx(max(map(score, itertools.product(range(6), repeat=5))))
 
 
+def test_long_conversations_are_parsed_as_one(spark):
+    """Against Viterbi over all lines of the whole transcript."""
+    model = transcripts.train(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choices(["what", "is", "this", "of", "yes", "so"], k=n))
+    rows = []
+    for conv, n in ((1, 700), (2, 257), (3, 1030), (4, 12)):
+        for k in range(n):
+            text = rng.choice([words(3) + "?", words(30) + ".", words(4) + "\n" + words(9), words(2) + "\n\n" + words(60) + ".\n", "", "\n\n"])
+            rows.append((conv, k, ("user", "assistant")[k % 2], "" if 500 < k < 800 and conv == 3 else text))
+    got = transcripts.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), model).orderBy("conv_id", "segment").collect()
+    for conv in (1, 2, 3, 4):
+        mine = [r for r in got if r.conv_id == conv]
+        raw = ""
+        for seg in sorted({r[1] // 256 for r in rows if r[0] == conv}):
+            turns = [(r[2], r[3]) for r in rows if r[0] == conv and r[1] // 256 == seg]
+            raw += transcripts.render(turns, str(conv), seg or None)[0]
+        found = transcripts.parse(raw, model)
+        assert "".join(r.text for r in mine) == transcripts.canonical(found)
+        assert sum(r.found_turns for r in mine) == len(found) and sum(r.n_turns for r in mine) == sum(r[0] == conv for r in rows)
+
+
 def test_odd_conversations(spark):
     rows = [(1, 0, "user", "Hi?"), (1, 1, "assistant", None), (1, 1, None, ""), (None, 0, "user", "a\n\nb"), (2, None, "strange", "x"), (1, 0, "user", "Hi?"), (3, 300, "user", "later")]
     conv = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segment string")
     model = transcripts.train(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
     got = transcripts.recover(conv, model).collect()
-    assert {(r.conv_id, r.segment): r.n_turns for r in got} == {(1, 0): 4, (None, 0): 1, (2, 0): 1, (3, 1): 1}
+    assert {(r.conv_id, r.segment): r.n_turns for r in got} == {(1, 0): 4, (None, 0): 1, (2, 0): 1, (3, 1): 1} and got[0].asDict().keys() >= {"roles", "text"}
     assert transcripts.recover(conv.limit(0), model).count() == 0
     raw = spark.createDataFrame([(1, "User: hello\nAssistant: hi there.\nmore"), (2, None), (3, "")], "id long, text string")
     turns = [(r.id, r.turn, r.role, r.text) for r in transcripts.parse_table(raw, model).orderBy("id", "turn").collect()]
