@@ -210,8 +210,9 @@ def drawn(entities: DataFrame, key: str, out: str = "surrogate") -> DataFrame:
     card = F.when(F.col("_luhn"), F.concat(F.substr(shaped, F.lit(1), F.length(shaped) - 1), check)).otherwise(shaped)
     iban = F.concat(land, F.when(F.col("_valid"), F.lpad((98 - _mod97(turned(F.col("_account"), F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substr(shaped, F.lit(3), F.lit(2))), F.substr(shaped, F.lit(5), F.length(shaped)))
     name = F.concat(F.col("title"), F.coalesce(F.concat(_cased(F.col("_first"), F.col("first")), F.lit(" ")), F.lit("")), _cased(F.col("family"), F.col("last")))
+    mark = F.regexp_extract(entity, r"^(?:[sprk]k[-_](?:(?:live|test|proj)[-_]?)?|gh[opsu]_|xox[abp]-|AKIA)", 0)  # which service's it is
     grown = lambda c, sep: F.when(more != "", F.concat(c, F.lit(sep), more)).otherwise(c)
-    said = F.when(kind == "surname", F.col("_surname")).when(kind == "email", mail).when(kind == "ip", grown(octets, ":")).when(kind == "card", grown(card, "-")).when(kind == "iban", grown(iban, " ")).when(kind == "name", name).otherwise(grown(shaped, "-"))
+    said = F.when(kind == "surname", F.col("_surname")).when(kind == "email", mail).when(kind == "ip", grown(octets, ":")).when(kind == "card", grown(card, "-")).when(kind == "iban", grown(iban, " ")).when(kind == "name", name).when(kind == "apikey", F.concat(mark, F.substr(grown(shaped, ""), F.length(mark) + 1, F.lit(1 << 20)))).otherwise(grown(shaped, "-"))
     return x.withColumn(out, said).select(*entities.columns, out)
 
 

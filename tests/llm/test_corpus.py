@@ -155,6 +155,26 @@ def test_drop_copies_keeps_columns(docs):
     assert 5 in ids and 3 not in ids and 4 not in ids
 
 
+def odd_rows(spark):
+    rows = [(1, "same text here"), (1, "same text here"), (2, "Same text here"), (2, "other words"), (None, "only of a null id"), (None, "only of a null id"), (None, "same text here"), (3, None), (4, "")]
+    return spark.createDataFrame([(a, b, "en", "s", 0) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_drop_copies_loses_no_text_and_keeps_one_row_of_each(spark):
+    got = [(r.doc_id, r.text) for r in exact_dedup.drop_copies(odd_rows(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(2, "Same text here"), (2, "other words"), (None, "only of a null id"), (4, "")], key=str)
+
+
+def test_drop_near_copies_loses_no_text_and_keeps_one_row_of_each(spark):
+    got = [(r.doc_id, r.text) for r in near_dedup.drop_near_copies(odd_rows(spark)).collect()]
+    assert len(got) == 5 and {(2, "other words"), (3, None), (4, ""), (None, "only of a null id")} < set(got) and [a for a, t in got if t and t.lower() == "same text here"] == [1]
+
+
+def test_mixed_rows_draw_rows_one_by_one(spark):
+    got = mixing.mixed_rows(odd_rows(spark)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in odd_rows(spark).collect() if r.text)
+
+
 # Mixing
 
 
@@ -167,6 +187,14 @@ def test_mix_equals_sql(spark):
     assert by(got).equals(by(want))
 
 
+def test_mix_with_small_weights_equals_one_running_sum(spark):
+    rng = random.Random(8)
+    rows = [(k, "w" * rng.choice((1, 100)) + " x", rng.choice("abb")) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, many = ({r.doc_id: r.taken for r in mixing.mix(docs, cell_rows=n).collect()} for n in (10_000, 20))
+    assert one == many
+
+
 def test_mix_fills_targets(docs, rows):
     got = mixing.mix(docs, cell_rows=3).collect()
     assert len(got) == len(rows)
@@ -276,6 +304,19 @@ def test_near_dedup_of_a_dense_family_without_links(spark, unlinked_family):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()} == want
 
 
+def test_near_dedup_of_a_family_beyond_all_bounds(spark):
+    """2,300 texts alike at 0.72, wider than any region that the rounds pair; each tenth has one partner at 0.78."""
+    common = [f"c{k}" for k in range(150)]
+    rows = []
+    for k in range(2300):
+        tail = [f"t{k}w{j}" for j in range(29)]
+        if k % 20 == 10:
+            tail[:6] = [f"t{k - 10}w{j}" for j in range(6)]
+        rows.append((k, " ".join(common + tail)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - 10 if k % 20 == 10 else k for k in range(2300)}
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(2)
     chain = list(range(1000, 1120))
@@ -337,6 +378,40 @@ def test_scores(docs, rows):
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and -1e9 < r.score < 0
 
 
+def test_score_is_the_marginal_over_all_segmentations_of_the_text(spark):
+    file = vocabulary(SCORING_VOCABULARY)
+    pieces, scores = vocabulary_pieces(file)
+    weight = {p: 1 / (r + 1) for r, p in enumerate(np.array(pieces, dtype=object)[np.argsort(-scores, kind="stable")])}
+    total = sum(weight.values())
+
+    def every(w):
+        return 1.0 if not w else sum(weight[w[:n]] / total * every(w[n:]) for n in range(1, len(w) + 1) if w[:n] in weight)
+
+    texts = ["The cat sat", "", "été on", "a" * 12, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = [w for t in texts for w in lower(t).encode().split()]
+    got = lm_scoring.score(docs, file, rounds=0).collect()
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    n = sum(len(lower(t).encode().split()) + 1 for t in train)
+    assert tokens and len(got) == len(texts)
+    for r in got:
+        words = lower(texts[r.doc_id]).encode().split()
+        want = sum(math.log10(every(b" " + w) * (n - len(train)) / n) for w in words) + math.log10(len(train) / n)
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_long_words_are_summed_like_short_ones():
+    pieces = [b" a", b" ab", b"b", b"bc", b"c", b" ", b"a", b"abc"]
+    logp = np.log(np.arange(1, 9) / 36)
+    lattice = Lattice(pieces)
+    rng = np.random.default_rng(0)
+    rows = np.concatenate([r for _, r in lattice.by_length([bytes(rng.choice([97, 98, 99], 1500).astype(np.uint8)) for _ in range(2)])])
+    a, out = lattice._forward(rows, logp, None)[:, -1], np.zeros(8)
+    assert np.allclose(lattice.forward(rows, logp), a)
+    lattice.expected(rows, np.ones(2), logp, out)
+    assert np.isclose(sum(len(p) * n for p, n in zip(pieces, out, strict=True)), 2 * 1501)
+
+
 def test_vocabulary_covers_all_bytes():
     pieces, scores = vocabulary_pieces(vocabulary(SCORING_VOCABULARY))
     assert {bytes([b]) for b in range(256)} <= set(pieces) and len(pieces) == len(set(pieces)) == len(scores)
