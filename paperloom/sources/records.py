@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import normalize_identifier
+
 TEXTS = "document_type citizen_name certificate_number aadhaar_number dob district issue_date upload_date ocr_text file_path extra_fields verification_status verified_by verified_at field_corrections verification_flags consistency_results".split()
 RECORD = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.StringType()) for c in TEXTS], T.StructField("quality_score", T.DoubleType()), T.StructField("quality_report", T.StringType())])
 DEFAULTS = {"extra_fields": "{}", "verification_status": "needs_review", "field_corrections": "{}", "verification_flags": "[]", "consistency_results": "{}", "quality_report": "{}"}
@@ -76,12 +81,43 @@ def conform(df: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in schema])
 
 
+#: What repeats are found by. They are stored with the records, so that a search for repeats reads no texts.
+KEYS = T.StructType([T.StructField("text_sha256", T.StringType()), T.StructField("certificate_key", T.StringType())])
+APPENDED = "epoch=-1"  # the folder of what isn't a stream's; a file beside such folders wouldn't be read
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Records with their `KEYS`: the digest of the text, and the certificate number without signs (null: none)."""
+    return df.withColumns({"text_sha256": F.sha2(F.coalesce("ocr_text", F.lit("")).cast("binary"), 256), "certificate_key": F.nullif(normalize_identifier(F.col("certificate_number")), F.lit(""))})
+
+
+def keys(spark: SparkSession, path: str, but: int | None = None) -> DataFrame:
+    """The `KEYS` of all records of a store, except those of one epoch. Texts are read only from files that were written without keys."""
+    files = spark.read.schema(T.StructType([*RECORD.fields, *KEYS.fields, T.StructField("epoch", T.IntegerType())])).parquet(path)
+    if but is not None:
+        files = files.filter(~F.col("epoch").eqNullSafe(but))
+    return files.filter("text_sha256 IS NOT NULL").select(*KEYS.names).union(keyed(files.filter("text_sha256 IS NULL")).select(*KEYS.names))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.parquet(path))
 
 
 def append(records: DataFrame, path: str) -> None:
-    conform(records).write.mode("append").parquet(path)
+    keyed(conform(records)).write.mode("append").parquet(f"{path}/{APPENDED}")
+
+
+def reset(spark: SparkSession, *paths: str) -> int:
+    """Delete all files in folders (the store, its log, the uploads) and keep the folders; the number of files. Ids begin anew."""
+    hadoop, deleted = spark._jvm.org.apache.hadoop.fs, 0
+    for path in map(hadoop.Path, paths):
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            continue
+        deleted += fs.getContentSummary(path).getFileCount()
+        for item in fs.listStatus(path):
+            fs.delete(item.getPath(), True)
+    return deleted
 
 
 def uploads(spark: SparkSession, folder: str, limit: int = 16 * 1024 * 1024) -> DataFrame:
@@ -93,15 +129,23 @@ def uploads(spark: SparkSession, folder: str, limit: int = 16 * 1024 * 1024) ->
 def with_new_ids(new: DataFrame, store: DataFrame, ranges: int = 4096) -> DataFrame:
     """New records get the ids after the store's largest, in order of their own key `id`.
 
-    Records are numbered within ranges of equal width of their key; a range
-    begins after the records of those before it. No task sees more than a range.
+    Records are numbered within ranges of their key that hold about equally
+    many of them, however their keys cluster; a range begins after the records
+    of those before it. No task sees more than a range.
     """
     from pyspark.sql import Window
 
-    ends = new.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
     last = store.agg(F.max("id").alias("last")).first()["last"] or 0
-    low, width = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // ranges))
-    rows = new.withColumn("_range", F.floor((F.col("id") - low) / width).cast("int"))
+    cuts = new.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("cuts")).first()["cuts"]
+    cuts = sorted(set(cuts or [0]))
+    # a key's range is found in two steps: its block of cuts, then its place in the block
+    side = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[k : k + side] for k in range(0, len(cuts), side)]
+    fixed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    passed = lambda bounds: F.size(F.filter(bounds, lambda c: c <= F.col("id")))
+    rows = new.withColumn("_block", passed(fixed([b[0] for b in blocks], "array<bigint>")))
+    inner = passed(F.get(fixed(blocks, "array<array<bigint>>"), F.col("_block") - 1))
+    rows = rows.withColumn("_range", F.when(F.col("_block") == 0, 0).otherwise((F.col("_block") - 1) * side + inner))
     # one row a range
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -116,6 +116,11 @@ def test_new_ids_follow_in_order(spark):
     old = spark.createDataFrame([(40,), (2,)], "id long")
     got = {x.was: x.id for x in store.with_new_ids(new, old, 3).collect()}
     assert got == {1: 41, 5: 42, 6: 43, 7: 44, 900000: 45}
+    # keys in two far clusters, more of them than ranges, some of them equal to a bound
+    far = spark.range(0, 500).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(10**15 + F.col("id")).alias("id")).withColumn("was", F.col("id"))
+    for ranges in (1, 2, 7, 64):
+        got = [x.id for x in store.with_new_ids(far, old, ranges).orderBy("was").collect()]
+        assert got == list(range(41, 541))
     assert store.with_new_ids(new.limit(0), old).count() == 0 and store.with_new_ids(new, old.limit(0)).agg(F.max("id")).first()[0] == 5
 
 
@@ -126,6 +131,38 @@ def test_pages_without_text(spark):
     assert got == {1: ("a b\n\n" + long, 0.725), 2: ("a b", 0.4), 3: ("c", 0.4), 4: ("", 0.9)}
 
 
+def similarity(x, y):
+    """Of two names with their words sorted: twice the longest common subsequence by the letters of both, in percent."""
+    x, y = (" ".join(sorted(t.split())) for t in (x, y))
+    left = full = (1 << len(x)) - 1
+    for ch in y:
+        hit = left & sum(1 << k for k, c in enumerate(x) if c == ch)
+        left = ((left + hit) | (left - hit)) & full
+    return 200 * (len(x) - left.bit_count()) / (len(x) + len(y))
+
+
+def test_no_similar_names_of_a_district_are_lost(spark):
+    rng = random.Random(5)
+    names = set()
+    for n in range(3, 40):
+        for _ in range(2):
+            name = " ".join("".join(rng.choices("aeiklmnrst", k=n)).replace("t", " ").split())
+            for _ in range(6):
+                w = list(name)
+                for _ in range(rng.randint(0, 1 + n // 8)):
+                    at = rng.randrange(len(w))
+                    w[at : at + 1] = rng.choice([[], [w[at], "x"], ["o"], [" "]])
+                    w = w or ["a"]
+                names.add(" ".join("".join(w).split()))
+    names = {(x, k % 2) for k, x in enumerate(sorted(n for n in names if len(n) >= 3))}
+    every = spark.createDataFrame(sorted(names), "name string, dist int")
+    a, b = (every.select(F.col("name").alias(c), "dist") for c in ("c_name", "r_name"))
+    want = {(x, y, d) for x, d in names for y, e in names if d == e and similarity(x, y) >= 90}
+    got = {tuple(x) for x in dedup.near_in_place(a, b).select("c_name", "r_name", "dist").collect()}
+    assert want <= got and all(d == dict(names)[y] for _, y, d in got)
+    assert len(got) < len(names) ** 2 / 10 and sum(x != y for x, y, _ in want) > 100
+
+
 def test_no_similar_long_names_are_lost(spark):
     rng = random.Random(4)
     names = {"balasubramaniam chandrasekaran k", "balasubramaniam chandrasekaran"}
@@ -143,15 +180,7 @@ def test_no_similar_long_names_are_lost(spark):
     every = spark.createDataFrame([(x,) for x in sorted(names)], "name string")
     a, b = every.select(F.col("name").alias("c_name")), every.select(F.col("name").alias("r_name"))
 
-    def sim(x, y):
-        x, y = (" ".join(sorted(t.split())) for t in (x, y))
-        left = full = (1 << len(x)) - 1
-        for ch in y:
-            hit = left & sum(1 << k for k, c in enumerate(x) if c == ch)
-            left = ((left + hit) | (left - hit)) & full
-        return 200 * (len(x) - left.bit_count()) / (len(x) + len(y))
-
-    want = {(x, y) for x in names for y in names if sim(x, y) >= 95}
+    want = {(x, y) for x in names for y in names if similarity(x, y) >= 95}
     got = {(x.c_name, x.r_name) for x in dedup.name_candidates(a, b).collect()}
     assert want <= got and ("balasubramaniam chandrasekaran", "balasubramaniam chandrasekaran k") in want
     assert len(got) < len(names) ** 2 / 10
@@ -230,6 +259,15 @@ def test_stream_takes_each_record_once(spark, tmp_path):
     kept = {x.id: x.document_type for x in spark.read.parquet(f"{tmp_path}/store").collect()}
     assert kept == {1: "Income Certificate", 4: "Unknown", 6: "Birth Certificate"}
     assert {x.id for x in spark.read.parquet(f"{tmp_path}/log").collect()} == {2, 3, 5}
+    # records that were appended count, those of a file without keys too, and a batch that runs again doesn't meet itself
+    store.append(make([(7, "z", "TN-77")]), f"{tmp_path}/store")
+    make([(8, "w", "TN-88")]).write.parquet(f"{tmp_path}/store/epoch=-2")
+    assert sorted(x.certificate_key or "" for x in store.keys(spark, f"{tmp_path}/store").collect()) == ["", "TN1", "TN77", "TN88", "TN9"]
+    assert {x.certificate_key for x in store.keys(spark, f"{tmp_path}/store", but=1).collect()} == {None, "TN1", "TN77", "TN88"}
+    make([(9, "z", None), (10, "v", "tn 88"), (11, "u", None)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    go()
+    assert {x.id for x in store.read(spark, f"{tmp_path}/store").collect()} == {1, 4, 6, 7, 8, 11}
+    assert store.reset(spark, f"{tmp_path}/store", f"{tmp_path}/none") > 0 and os.listdir(f"{tmp_path}/store") == []
 
 
 def test_entry(spark):
