@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +28,9 @@ QUESTION_TYPES = {
 QUESTION_DISTRICTS = "Ariyalur Chengalpattu Chennai Coimbatore Cuddalore Dharmapuri Dindigul Erode Kallakurichi Kanchipuram Kanyakumari Karur Krishnagiri Madurai Mayiladuthurai Nagapattinam Namakkal Nilgiris Perambalur Pudukkottai Ramanathapuram Ranipet Salem Sivagangai Tenkasi Thanjavur Theni Thoothukudi Tiruchirappalli Trichy Tirunelveli Tirupathur Tiruppur Tiruvallur Tiruvannamalai Tiruvarur Vellore Viluppuram Virudhunagar".split()
 COMMANDS = set("search show find list get how what check tell view income birth community aadhaar student permission form certificate card records documents document record all roll number date year district".split())
 NO_QUESTION = "Please type a question or choose a prompt to search government records."
+NO_STORE = "Database file not found. Please upload documents first."
+FIRST_SUGGESTIONS = ["Show all income certificates", "How many documents are digitized?", "Find records in Tiruppur"]
+FREE_TEXT = ("citizen_name", "district", "document_type", "certificate_number", "ocr_text", "extra_fields")
 SUGGESTIONS = ["Show all income certificates", "Find records from Tiruppur", "How many documents are digitized?", "Check prevented duplicates"]
 
 
@@ -81,34 +91,50 @@ def _like(column: str, term: str) -> Column:
     return F.ilike(F.col(column), F.lit(f"%{term}%"), F.lit("\x01"))
 
 
-def predicate(question: str, found: dict[str, str]) -> Column | None:
-    """The filter that a question about documents stands for; None for all."""
-    conds: list[Column] = []
-    if "document_type" in found:
-        conds.append(F.col("document_type") == found["document_type"])
-    if "district" in found:
-        conds.append(_like("district", found["district"]))
-    for key in ("certificate_number", "roll_number"):
-        if key in found:
-            conds.append((F.col("certificate_number") == found[key]) | _like("extra_fields", found[key]))
+def _conditions(question: str, found: dict[str, str]) -> list[tuple[Callable[[], Column], str, list[str]]]:
+    """What a question about documents asks for: each condition as a filter, and as text with its bindings."""
+    out: list[tuple[Callable[[], Column], str, list[str]]] = []
+    if kind := found.get("document_type"):
+        out.append((lambda: F.col("document_type") == kind, "document_type = ?", [kind]))
+    if place := found.get("district"):
+        out.append((lambda: _like("district", place), "LOWER(district) LIKE ?", [f"%{place.lower()}%"]))
+    for number in (found[k] for k in ("certificate_number", "roll_number") if k in found):
+        out.append((lambda number=number: (F.col("certificate_number") == number) | _like("extra_fields", number), "(certificate_number = ? OR extra_fields LIKE ?)", [number, f"%{number}%"]))
     if "aadhaar_number" in found:
         n = found["aadhaar_number"].replace(" ", "")
-        conds.append(F.contains(F.replace("aadhaar_number", F.lit(" "), F.lit("")), F.lit(n)) | _like("extra_fields", n))
-    if "year" in found:
-        conds.append(_like("issue_date", found["year"]) | _like("upload_date", found["year"]))
-    if "name" in found:
-        conds.append(_like("citizen_name", found["name"]))
-    if not conds and not counts(question):
-        words = [w for w in re.findall(r"\w+", question.lower()) if len(w) > 2 and w not in vocab.STOP_WORDS][:3]
-        for w in words:
-            any_ = F.lit(False)
-            for c in ("citizen_name", "district", "document_type", "certificate_number", "ocr_text", "extra_fields"):
-                any_ = any_ | F.coalesce(_like(c, w), F.lit(False))
-            conds.append(any_)
-    out = None
-    for c in conds:
-        out = c if out is None else out & c
-    return out
+        bare = lambda: F.contains(F.replace("aadhaar_number", F.lit(" "), F.lit("")), F.lit(n))
+        out.append((lambda: bare() | _like("extra_fields", n), "(REPLACE(aadhaar_number, ' ', '') LIKE ? OR extra_fields LIKE ?)", [f"%{n}%"] * 2))
+    if year := found.get("year"):
+        out.append((lambda: _like("issue_date", year) | _like("upload_date", year), "(issue_date LIKE ? OR upload_date LIKE ?)", [f"%{year}%"] * 2))
+    if name := found.get("name"):
+        out.append((lambda: _like("citizen_name", name), "LOWER(citizen_name) LIKE ?", [f"%{name.lower()}%"]))
+    if out or counts(question):
+        return out
+    words = [w for w in re.findall(r"\w+", question.lower()) if len(w) > 2 and w not in vocab.STOP_WORDS][:3]
+    anywhere = lambda w: reduce(or_, [F.coalesce(_like(c, w), F.lit(False)) for c in FREE_TEXT])
+    said = "(" + " OR ".join(f"LOWER({c}) LIKE ?" for c in FREE_TEXT) + ")"
+    return [(lambda w=w: anywhere(w), said, [f"%{w}%"] * len(FREE_TEXT)) for w in words]
+
+
+def predicate(question: str, found: dict[str, str]) -> Column | None:
+    """The filter that a question about documents stands for; None for all."""
+    conds = [c() for c, _, _ in _conditions(question, found)]
+    return reduce(and_, conds) if conds else None
+
+
+def display_sql(question: str, found: dict[str, str], bound: bool = True) -> str:
+    """A question as the statement that a reader is shown, with its bindings in a comment; nothing runs it."""
+    kind = intent(question)
+    if kind.endswith("duplicates"):
+        return "SELECT COUNT(*) FROM duplicate_logs" if counts(question) else "SELECT id, filename, reason, detected_at FROM duplicate_logs ORDER BY id DESC LIMIT 10"
+    conds = _conditions(question, found)
+    texts = [t for _, t, _ in conds]
+    if any(t.startswith("(LOWER(citizen_name)") for t in texts):  # free text is one condition
+        texts = ["(" + " AND ".join(texts) + ")"]
+    sql = f"SELECT {'COUNT(*)' if counts(question) else '*'} FROM government_documents" + (" WHERE " + " AND ".join(texts) if texts else "")
+    sql += "" if counts(question) else " ORDER BY id DESC LIMIT 15"
+    bindings = [x for _, _, b in conds for x in b]
+    return sql + (f" /* bindings: {", ".join(f"'{x}'" for x in bindings)} */" if bound and bindings else "")
 
 
 def counts(question: str) -> bool:
@@ -148,16 +174,67 @@ def answer(question: str, found: dict[str, str], n: int, rows: list[dict]) -> st
         return f"No digitized records found{' with ' + ', '.join(parts) if parts else ''}. Try searching by a different name, district, or certificate number."
     if n == 1:
         r = rows[0]
-        return f"Found 1 {r.get('document_type') or 'Document'} for {r.get('citizen_name') or 'Citizen'} in {r.get('district') or 'Tamil Nadu'} (Certificate/ID: {r.get('certificate_number') or 'N/A'}{' issued on ' + r['issue_date'] if r.get('issue_date') else ''})"
+        when = r.get("issue_date") or r.get("upload_date")
+        number = r.get("certificate_number") or _json(r.get("extra_fields")).get("Roll Number") or "N/A"
+        return f"Found 1 {r.get('document_type') or 'Document'} for {r.get('citizen_name') or 'Citizen'} in {r.get('district') or 'Tamil Nadu'} (Certificate/ID: {number}{' issued on ' + when if when else ''}){_standing(r)}"
     kinds = sorted({r.get("document_type") or "Document" for r in rows})
     return f"Found {n} matching records ({', '.join(kinds[:2])}). You can inspect any record using the cards below."
 
 
-def respond(question: str | None, records: DataFrame, log: DataFrame) -> str:
-    """The sentence that answers a question; at most 15 rows reach the driver."""
-    if not (question or "").strip():
-        return NO_QUESTION
-    out = ask(question, records, log)
-    rows = [r.asDict() for r in out.collect()]
-    n = rows[0]["n"] if intent(question).startswith("count") else len(rows)
-    return answer(question, entities(question), n, rows)
+def _json(text: str | None) -> dict:
+    try:
+        out = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return out if isinstance(out, dict) else {}
+
+
+def _standing(r: dict) -> str:
+    """How far a record has been looked at, as the end of a sentence."""
+    if _json(r.get("field_corrections")):
+        return f" (Status: Human-reviewed with verified corrections by {r.get('verified_by') or 'Officer'})."
+    status = r.get("verification_status")
+    # What the statuses of a machine are called.
+    named = {"auto_verified": "Automated consistency and quality checks passed", "needs_review": "OCR-extracted, pending human review"}
+    return f" (Status: {named.get(status) or status.replace('_', ' ').title()})." if status else ""
+
+
+@dataclass
+class Response:
+    query: str
+    intent: str
+    sql: str
+    answer: str
+    count: int = 0
+    records: list[dict] = field(default_factory=list)
+    suggestions: list[str] = field(default_factory=lambda: list(SUGGESTIONS))
+    is_count: bool = False
+
+
+def process(question: str | None, records: DataFrame | None, log: DataFrame | None) -> Response:
+    """A question from its text to its answer; at most 15 rows reach the driver.
+
+    Intent "empty" without a question, "error" where the search fails. Without
+    a store (None) the answer says so.
+    """
+    asked = (question or "").strip()
+    if not asked:
+        return Response("", "empty", "", NO_QUESTION, suggestions=list(FIRST_SUGGESTIONS))
+    found, kind = entities(asked), intent(asked)
+    bare = display_sql(asked, found, bound=False)
+    guard(bare)
+    if records is None or log is None:
+        return Response(asked, kind, bare, NO_STORE)
+    try:
+        rows = [r.asDict() for r in ask(asked, records, log).collect()]
+    except (PySparkException, Py4JError) as e:
+        return Response(asked, "error", bare, f"Could not execute query: {e}")
+    number = rows[0]["n"] if counts(asked) else len(rows)
+    said = answer(asked, found, number, rows)
+    rows = [] if counts(asked) else [{**r, "extra_fields": _json(r["extra_fields"])} if isinstance(r.get("extra_fields"), str) else r for r in rows]
+    return Response(asked, kind, display_sql(asked, found), said, number, rows, is_count=counts(asked))
+
+
+def respond(question: str | None, records: DataFrame | None, log: DataFrame | None) -> str:
+    """The sentence that answers a question."""
+    return process(question, records, log).answer

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import blank, clean_name, some, taluk_district
+from ..functions.text import blank, clean_name, some, taluk_district, valid_name
+from ..sources.records import RECORD, conform
 from . import rules
-from .corrections import hydrated
+from .corrections import apply, hydrated
 
 SEARCHED = ("citizen_name", "certificate_number", "aadhaar_number", "district", "ocr_text")
 
@@ -76,6 +77,21 @@ def stats(r: DataFrame, log: DataFrame) -> DataFrame:
     return mine.join(F.broadcast(log.agg(F.count("*").alias("blocked"))), F.lit(True))  # one row each
 
 
+def overview(r: DataFrame, log: DataFrame, recent: int = 5) -> DataFrame:
+    """One row: the dashboard's figures, records by type, and the newest records and blocked uploads.
+
+    Types are few, newest rows are `recent`; nothing else meets in one task.
+    """
+    types = r.groupBy("document_type").agg(F.count("*").alias("n"))
+    by_type = types.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "document_type", "n"))), lambda x: F.struct(x["document_type"].alias("document_type"), x["n"].alias("n"))).alias("type_breakdown"))
+
+    def newest(d: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+        return page(d, recent).agg(F.sort_array(F.collect_list(F.struct(*columns)), asc=False).alias(name))
+
+    lists = [by_type, newest(r, ("id", "document_type", "citizen_name", "certificate_number", "district", "upload_date"), "recent_documents"), newest(log, ("id", "filename", "reason", "detected_at"), "recent_duplicates")]
+    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), lists, stats(r, log))  # one row each
+
+
 # Fields that stand for another one where that isn't there, in order.
 ALIASES = {
     "Certificate Number": ("PAN Number", "Driving Licence Number", "Registration Number"),
@@ -164,8 +180,13 @@ def quality_report(r: DataFrame, measured: bool = True) -> DataFrame:
     none = F.lit(None).cast("double")
     missing = rules.missing_fields(F.col("document_type"), F.col("_m"))
     x = scored(r if measured else r.withColumns(dict.fromkeys(("blur", "brightness", "skew", "ocr_confidence"), none)), missing.alias("missing"), "blur", "brightness", "skew")
+    return x.select("id", *_quality_columns())
+
+
+def _quality_columns() -> list[Column]:
+    """The report on records `scored` with their missing fields and measurements."""
     said = rules.factors(F.col("missing"), F.col("blur"), F.col("brightness"), F.col("skew"), F.col("ocr"))
-    return x.select("id", F.col("score").alias("overall_score"), rules.category(F.col("score")).alias("category"), rules.recommendation(F.col("score"), F.col("missing"), F.col("image")).alias("recommendation"), F.col("image").alias("image_quality_score"), F.col("ocr").alias("ocr_confidence_score"), F.col("complete").alias("field_completeness_score"), F.array_join("missing", ", ").alias("missing_required_fields"), F.array_join(said, " ").alias("score_reduction_factors"))
+    return [F.col("score").alias("overall_score"), rules.category(F.col("score")).alias("category"), rules.recommendation(F.col("score"), F.col("missing"), F.col("image")).alias("recommendation"), F.col("image").alias("image_quality_score"), F.col("ocr").alias("ocr_confidence_score"), F.col("complete").alias("field_completeness_score"), F.array_join("missing", ", ").alias("missing_required_fields"), F.array_join(said, " ").alias("score_reduction_factors")]
 
 
 def quality_lookup(r: DataFrame) -> DataFrame:
@@ -219,3 +240,86 @@ def initial_status(r: DataFrame, as_of: str) -> DataFrame:
     """(id, status) at upload: verified unless a field is flagged or a check fails. One pass, no join."""
     x = with_fields(flagged(r))
     return x.select("id", F.when((F.col("_flagged") > 0) | F.array_contains(_statuses(as_of), "Failed"), "needs_review").otherwise("auto_verified").alias("status"))
+
+
+def with_flags(r: DataFrame, close: Column | None = None) -> DataFrame:
+    """With `_flags`, a record's flagged fields with the reasons."""
+    x = r.withColumn("_x", extra())
+    father = F.coalesce(*[F.nullif(F.try_element_at("_x", F.lit(k)), F.lit("")) for k in ("Father / Guardian", "Father's Name", "Father / Husband Name")])
+    values = {"_cert": F.col("certificate_number"), "_aad": F.col("aadhaar_number"), "_name": F.col("citizen_name"), "_father": father, "_place": F.col("district"), "_dob": F.col("dob"), "_issue": F.col("issue_date")}
+    x = x.withColumns({**{k: some(c) for k, c in values.items()}, "_others": other_fields(F.col("_x"))})
+    said = lambda name, rule, when=None: F.when(rule["flagged"] if when is None else when & rule["flagged"], F.struct(F.lit(name).alias("field"), F.split(rule["reasons"], "; ").alias("reasons")))
+    judged = [
+        said("Certificate Number", rules.verify_certificate(F.col("_cert"), True), F.col("document_type").isin("Community Certificate", "Income Certificate", "Birth Certificate")),
+        said("Aadhaar Number", rules.verify_aadhaar(F.col("_aad"), True), (F.col("document_type") == "Aadhaar Card") | F.col("_aad").isNotNull()),
+        said("Citizen Name", rules.verify_name(F.col("_name"), "Citizen Name", True)),
+        said("Father / Guardian", rules.verify_name(F.col("_father"), "Father / Guardian", True), F.col("_father").isNotNull()),
+        said("District", rules.verify_district(F.col("_place"), close, True)),
+        said("Date of Birth", rules.verify_date(F.col("_dob"), True), F.col("_dob").isNotNull()),
+        said("Issue Date", rules.verify_date(F.col("_issue"), True), F.col("_issue").isNotNull()),
+    ]
+    x = x.withColumns({f"_{k}": c for k, c in enumerate(judged)})
+    more = F.transform(F.map_entries("_others"), lambda e: F.struct(e["key"].alias("field"), rules.verify_other(e["value"]).alias("x")))
+    more = F.transform(F.filter(more, lambda e: e["x"]["flagged"]), lambda e: F.struct(e["field"].alias("field"), F.split(e["x"]["reasons"], "; ").alias("reasons")))
+    every = F.array_compact(F.array(*[f"_{k}" for k in range(len(judged))]))
+    none = F.array().cast("array<struct<field:string,reasons:array<string>>>")
+    return x.withColumn("_flags", F.concat(every, F.coalesce(more, none))).drop("_x", "_others", *values, *[f"_{k}" for k in range(len(judged))])
+
+
+def flags(r: DataFrame, close: Column | None = None) -> DataFrame:
+    """(id, verification_flags): JSON list of a record's flagged fields with the reasons, as it is stored at upload."""
+    r, close = _with(r, close)
+    return with_flags(r, close).select("id", F.to_json("_flags").alias("verification_flags"))
+
+
+PROMOTED = ("citizen_name", "certificate_number", "aadhaar_number", "dob", "district", "issue_date")
+
+
+def promoted(r: DataFrame) -> DataFrame:
+    """Records with the columns that their fields give (`PROMOTED`).
+
+    A column takes the first of its fields that isn't empty. Names are cleaned,
+    or only trimmed where nothing valid is left; a taluk gives the district
+    where no field does.
+    """
+    first = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at("_m", F.lit(k)), F.lit("")) for k in keys])
+    # The fields that a column takes, in order.
+    names = ("Citizen Name", "Name", "Applicant Name", "Child Name")
+    numbers = ("Certificate Number", "Registration Number", "PAN Number", "Driving Licence Number")
+    x = r.withColumn("_m", hydrated()).withColumn("_raw", first(*names))
+    name = F.coalesce(F.nullif(valid_name(F.col("_raw")), F.lit("")), F.trim("_raw"))
+    columns = (name, first(*numbers), first("Aadhaar Number"), first("Date of Birth", "DOB"), F.coalesce(first("District"), taluk_district(first("Taluk"))), first("Issue Date"))
+    return x.withColumns(dict(zip(PROMOTED, columns, strict=True))).drop("_m", "_raw")
+
+
+def stored(r: DataFrame, as_of: str, now: str, close: Column | None = None) -> DataFrame:
+    """New records as they are stored, in the store's schema: promoted columns, first status, flags, consistency and quality.
+
+    A status that a record brings stays. Everything is made in one pass, without
+    a join or a later update.
+    """
+    measures = ("blur", "brightness", "skew", "ocr_confidence")
+    r = r.withColumns({c: F.lit(None).cast("double") for c in measures if c not in r.columns})
+    x, close = _with(promoted(r), close)
+    x = with_flags(x, close)
+    kept = [c for c in RECORD.names if c in x.columns and c not in ("id", "quality_score", "quality_report")]
+    missing = rules.missing_fields(F.col("document_type"), F.col("_m"))
+    x = scored(x, *kept, *measures[:3], "_flags", missing.alias("missing"), _statuses(as_of, close).alias("_s"))
+    n = lambda what: F.size(F.filter("_s", lambda v: v == what))
+    overall = F.when(n("Failed") > 0, "Failed").when(n("Warning") > 0, "Warning").otherwise("Passed")
+    given = F.nullif(F.trim("verification_status"), F.lit("")) if "verification_status" in x.columns else F.lit(None).cast("string")
+    first = F.when((F.size("_flags") > 0) | F.array_contains("_s", "Failed"), "needs_review").otherwise("auto_verified")
+    made = {
+        "verification_status": F.coalesce(given, first),
+        "verification_flags": F.to_json("_flags"),
+        "consistency_results": F.to_json(F.struct(overall.alias("overall_status"), n("Failed").alias("failed"), n("Warning").alias("warnings"), n("Passed").alias("passed"))),
+        "quality_score": F.col("score"),
+        "quality_report": F.to_json(F.struct(*_quality_columns())),
+        "upload_date": F.lit(now),
+    }
+    return conform(x.withColumns(made))
+
+
+def reanalysed(r: DataFrame, corrections_: DataFrame, reviewer: str, now: str, notes: str | None = None) -> DataFrame:
+    """The verification report of records right after their corrections; an id that the store lacks is an error."""
+    return verification_report(apply(r, corrections_, reviewer, now, notes).join(corrections_.select("id"), "id", "left_semi"))

@@ -204,6 +204,21 @@ def dashboard_stats(r):
     return dashboard.stats(r, store.duplicate_log(r))
 
 
+_JSON = "json_extract_string(extra_fields, '$.\"{}\"')"
+
+
+@query(_LOG + """, t AS (SELECT document_type AS k, count(*) AS n FROM records GROUP BY 1)
+SELECT (SELECT count(*) FROM records) AS total, (SELECT string_agg(k || '=' || n, ', ' ORDER BY n DESC, k) FROM t) AS types,
+ (SELECT string_agg(id || ' ' || document_type || ' ' || coalesce(district, ''), ', ' ORDER BY id DESC) FROM (SELECT * FROM records ORDER BY id DESC LIMIT 5)) AS documents,
+ (SELECT string_agg(filename || ' ' || detected_at, ', ' ORDER BY id DESC) FROM (SELECT * FROM log ORDER BY id DESC LIMIT 5)) AS duplicates""")
+def dashboard_overview(r):
+    x = dashboard.overview(r, store.duplicate_log(r))
+    join = lambda c, f: F.array_join(F.transform(c, f), ", ")
+    types = join("type_breakdown", lambda t: F.concat(t["document_type"], F.lit("="), t["n"].cast("string")))
+    documents = join("recent_documents", lambda t: F.concat_ws(" ", t["id"].cast("string"), t["document_type"], F.coalesce(t["district"], F.lit(""))))
+    return x.select("total", types.alias("types"), documents.alias("documents"), join("recent_duplicates", lambda t: F.concat_ws(" ", t["filename"], t["detected_at"])).alias("duplicates"))
+
+
 # Classification -------------------------------------------------------------------------------------------------------
 
 
@@ -325,6 +340,31 @@ def taluk_district_join(r):
     return r.select("id", "taluk", tx.taluk_district(F.col("taluk")).alias("taluk_district"))
 
 
+_RAW = f"coalesce(nullif({_JSON.format('Citizen Name')}, ''), nullif(citizen_name, ''), nullif({_JSON.format('Name')}, ''), nullif({_JSON.format('Applicant Name')}, ''), nullif({_JSON.format('Child Name')}, ''))"
+
+
+@query(f", f AS (SELECT *, {_RAW} AS raw FROM records), c AS (SELECT *, " + _CLEAN.format("raw") + " AS n FROM f), v AS (SELECT *, " + _VALID.format("n") + f""" AS g FROM c)
+SELECT id, coalesce(g, trim(raw)) AS citizen_name, coalesce(nullif(certificate_number, ''), nullif({_JSON.format('Registration Number')}, ''), nullif({_JSON.format('PAN Number')}, ''), nullif({_JSON.format('Driving Licence Number')}, '')) AS certificate_number,
+ nullif(aadhaar_number, '') AS aadhaar_number, nullif(dob, '') AS dob, coalesce(nullif(district, ''), """ + _TALUK_SQL.format(_JSON.format("Taluk")) + ") AS district, nullif(issue_date, '') AS issue_date FROM v")
+def promote_record(r):
+    return dashboard.promoted(r).select("id", *dashboard.PROMOTED)
+
+
+@query(None)
+def verification_flags(r):
+    return dashboard.flags(r)
+
+
+@query(None)
+def store_records(r):
+    return dashboard.stored(r.drop("verification_status"), AS_OF, NOW)
+
+
+@query(None)
+def reanalyze_corrected(r):
+    return dashboard.reanalysed(r, corrections.sample(r), "officer", NOW)
+
+
 # Verification ---------------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Record queries against DuckDB, and rules on hand-written cases."""
 
 import glob
+import json
 import math
 import os
 import random
@@ -232,6 +233,64 @@ def test_questions():
     assert "No digitized records found with district 'Madurai'" in assistant.answer("Find records in Madurai", {"district": "Madurai"}, 0, [])
 
 
+def test_question_to_answer(spark):
+    r = store.conform(store.corpus(spark, SF)).withColumn("extra_fields", F.lit('{"Roll Number": "24CSRO44"}'))
+    log = store.duplicate_log(r)
+    x = assistant.process(" Show income certificates in Salem ", r, log)
+    want = r.filter("document_type = 'Income Certificate' AND district = 'Salem'").count()
+    assert x.intent == "search_records" and x.count == len(x.records) == want <= 15 and not x.is_count and x.records[0]["extra_fields"] == {"Roll Number": "24CSRO44"}
+    assert x.sql == "SELECT * FROM government_documents WHERE document_type = ? AND LOWER(district) LIKE ? ORDER BY id DESC LIMIT 15 /* bindings: 'Income Certificate', '%salem%' */"
+    one = r.filter("document_type = 'Income Certificate' AND district = 'Salem'").limit(1).withColumns({"certificate_number": F.lit(None), "issue_date": F.lit(""), "citizen_name": F.lit("Asha"), "upload_date": F.lit("2024"), "verification_status": F.lit("reviewed")})
+    assert assistant.respond("Show income certificates in Salem", one, log) == "Found 1 Income Certificate for Asha in Salem (Certificate/ID: 24CSRO44 issued on 2024) (Status: Reviewed)."
+    by = one.withColumns({"field_corrections": F.lit('{"t": {}}'), "verified_by": F.lit("Devi")})
+    assert assistant.respond("Show income certificates in Salem", by, log).endswith(" (Status: Human-reviewed with verified corrections by Devi).")
+    assert assistant.process("How many duplicates?", r, log).is_count and assistant.process("  ", r, log).intent == "empty"
+    assert assistant.process("Find records in Salem", None, None).answer == assistant.NO_STORE
+    broken = assistant.process("Find records in Salem", spark.createDataFrame([(1,)], "id long"), log)
+    assert broken.intent == "error" and broken.answer.startswith("Could not execute query: ") and broken.count == 0
+
+
+def test_records_as_stored(spark):
+    rows = [
+        (1, "Income Certificate", "{}", None, None, "Thiru Asha Devi"),
+        (2, "PAN Card", '{"Name": "Ravi Kumar", "PAN Number": "ABCDE1234F", "Taluk": " Avinashi ", "DOB": "01-02-1990"}', None, None, ""),
+        (3, "Birth Certificate", '{"Child Name": "12 ??", "Registration Number": "R-77", "Note": "a?b"}', None, "manually_verified", None),
+        (4, "Driving Licence", None, "", None, None),
+        (5, "Community Certificate", '{"Name": "", "Applicant Name": "Mani Selvam", "Child Name": "Other One"}', "TN-4202000000123", None, None),
+    ]
+    r = spark.createDataFrame(rows, "id long, document_type string, extra_fields string, certificate_number string, verification_status string, citizen_name string").withColumns({c: F.lit(None).cast("string") for c in ("aadhaar_number", "dob", "district", "issue_date", "ocr_text", "quality_report")})
+    got = {x.id: x for x in dashboard.promoted(r).collect()}
+    assert [got[k].citizen_name for k in range(1, 6)] == ["Asha Devi", "Ravi Kumar", "12 ??", None, "Mani Selvam"]
+    assert [got[k].certificate_number for k in range(1, 6)] == [None, "ABCDE1234F", "R-77", None, "TN-4202000000123"]
+    assert (got[2].district, got[2].dob) == ("Tiruppur", "01-02-1990")
+    flags = {x.id: {f["field"]: f["reasons"] for f in json.loads(x.verification_flags)} for x in dashboard.flags(r).collect()}
+    assert flags[1]["Certificate Number"] == ["Certificate Number was not detected by OCR"] and flags[3]["Note"] == ["Uncertain OCR characters detected"]
+    made = {x.id: x for x in dashboard.stored(r, "1998-06-01", "now").collect()}
+    assert dashboard.stored(r, "1998-06-01", "now").schema.names == store.RECORD.names and len(made) == 5
+    assert made[3].verification_status == "manually_verified" and made[1].verification_status == "needs_review"
+    assert json.loads(made[1].consistency_results)["overall_status"] == "Failed" and json.loads(made[2].quality_report)["overall_score"] == made[2].quality_score
+    assert dashboard.stored(r.limit(0), "1998-06-01", "now").count() == 0
+    # flags, statuses, consistency and quality are those of the single reports
+    c = store.corpus(spark, SF).filter("id % 7 = 0")
+    flagged = {x.id: x.flagged for x in dashboard.verification_report(c).collect()}
+    assert {x.id: len(json.loads(x.verification_flags)) for x in dashboard.flags(c).collect()} == flagged
+    p = dashboard.promoted(c.drop("verification_status"))
+    whole = {x.id: x for x in dashboard.stored(c.drop("verification_status"), "1998-06-01", "now").collect()}
+    p = p.withColumn("verification_status", F.lit(None).cast("string"))
+    assert {k: x.verification_status for k, x in whole.items()} == {x.id: x.status for x in dashboard.initial_status(p, "1998-06-01").collect()}
+    assert {k: json.loads(x.consistency_results)["overall_status"] for k, x in whole.items()} == {x.id: x.status for x in dashboard.consistency(p, "1998-06-01").collect()}
+    assert {k: x.quality_score for k, x in whole.items()} == {x.id: x.overall_score for x in dashboard.quality_report(p).collect()}
+
+
+def test_reanalysis_after_corrections(spark):
+    r = store.corpus(spark, SF).filter("id % 50 = 0")
+    x = dashboard.reanalysed(r, corrections.sample(r), "officer", "now").collect()
+    assert len(x) == r.count() and {v.status for v in x} == {"manually_verified"}
+    ghost = spark.createDataFrame([(-1, {"District": "Salem"})], "id long, changes map<string,string>")
+    with pytest.raises(ValueError, match="-1 does not exist"):
+        dashboard.reanalysed(r, ghost, "officer", "now")
+
+
 def test_pages_and_store(spark, tmp_path):
     assert pages.arrange([(50, 10, 20, "b"), (0, 12, 20, "a"), (0, 60, 20, "c")]) == ["a b", "c"]
     assert pages.arrange([]) == []
