@@ -91,18 +91,23 @@ def is_pdf(r):
     return r.select("id", pages.is_pdf(F.col("file_path")).alias("is_pdf"))
 
 
-_PAGES = """, p AS (SELECT o.l_orderkey AS id, o.l_linenumber AS page, CASE WHEN l_linenumber % 2 = 0 THEN rpad('Revenue certificate of the district ', 200, 'x') ELSE 'page ' || l_linenumber END AS embedded,
-  'scan ' || l_partkey AS ocr, CASE WHEN l_quantity < 10 THEN NULL ELSE l_quantity / 50 END AS conf FROM lineitem o)"""
+#: Pages of every kind: rich text, one word of certificates only, short or blank text, text that the scan has, neither.
+_PAGES_SQL = """SELECT l_orderkey AS id, l_linenumber AS page,
+  CASE cast((l_orderkey + l_linenumber) % 8 as int) WHEN 0 THEN rpad('Revenue certificate of the district ', 200, 'x') WHEN 1 THEN 'page ' || cast(l_linenumber as varchar(9)) WHEN 2 THEN rpad('Certificate of merit ', 200, 'y')
+   WHEN 3 THEN '   ' WHEN 4 THEN cast(l_partkey as varchar(20)) WHEN 6 THEN 'Government department' WHEN 7 THEN rpad(' INCOME of the daughter of ', 160, 'z') END AS embedded,
+  CASE WHEN (l_orderkey + l_linenumber) % 8 <> 5 AND l_partkey % 9 <> 0 THEN 'scan ' || cast(l_partkey as varchar(20)) END AS ocr, CASE WHEN l_quantity < 10 THEN NULL ELSE l_quantity / 50 END AS conf FROM {lineitem}"""
+_PAGES = ", p AS (" + _PAGES_SQL.format(lineitem="lineitem") + ")"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("page"), F.when(F.col("l_linenumber") % 2 == 0, F.rpad(F.lit("Revenue certificate of the district "), 200, "x")).otherwise(F.concat(F.lit("page "), F.col("l_linenumber").cast("string"))).alias("embedded"), F.concat(F.lit("scan "), F.col("l_partkey").cast("string")).alias("ocr"), F.when(F.col("l_quantity") >= 10, F.col("l_quantity") / 50).alias("conf"))
+    return spark.sql(_PAGES_SQL, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 QUERIES["page_text_merge"] = lambda spark, sf_dir: pages.merge(_pages(spark, sf_dir))
-ORACLES["page_text_merge"] = "WITH" + _PAGES[1:] + """, t AS (SELECT id, page, CASE WHEN length(embedded) >= 150 THEN embedded ELSE ocr || chr(10) || embedded END AS txt, CASE WHEN length(embedded) >= 150 THEN 0.95 ELSE conf END AS c FROM p)
-SELECT id, string_agg(txt, chr(10) || chr(10) ORDER BY page, txt) AS text, round(coalesce(avg(c), 0.9), 6) AS confidence, count(*) AS pages FROM t GROUP BY id"""
+_RICH = "length(trim(embedded)) >= 150 AND " + " + ".join(f"contains(lower(embedded), {_q(w)})::INT" for w in pages.RICH_WORDS) + " >= 2"
+ORACLES["page_text_merge"] = "WITH" + _PAGES[1:] + f""", k AS (SELECT id, page, nullif(trim(embedded), '') AS e, ocr, conf, coalesce({_RICH}, false) AS rich FROM p),
+t AS (SELECT id, page, CASE WHEN rich THEN e WHEN e IS NULL OR contains(ocr, e) THEN ocr WHEN ocr IS NULL THEN e ELSE ocr || chr(10) || e END AS txt, CASE WHEN rich THEN 0.95 ELSE conf END AS c FROM k)
+SELECT id, coalesce(string_agg(txt, chr(10) || chr(10) ORDER BY page, txt), '') AS text, round(coalesce(avg(c), 0.9), 6) AS confidence, count(*) AS pages FROM t GROUP BY id"""
 QUERIES["ocr_conf_mean"] = lambda spark, sf_dir: pages.mean_confidence(_pages(spark, sf_dir))
 ORACLES["ocr_conf_mean"] = "WITH" + _PAGES[1:] + " SELECT id, round(avg(conf), 6) AS confidence, count(conf) AS boxes FROM p WHERE conf >= 0.12 GROUP BY id"
 QUERIES["box_lines"] = lambda spark, sf_dir: pages.lines(pages.sample_boxes(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
@@ -784,7 +789,7 @@ def nl_entities(r):
     return asked.select("id", F.explode(assistant.entities_of(F.col("question"))).alias("entity", "v"))
 
 
-_ASKED = ["How many birth certificates are there?", "How many records from Salem?", "How many documents are digitized?", "How many duplicates were blocked?", "Find records in Atlantis"]
+_ASKED = ["How many birth certificates are there?", "How many records from Salem?", "How many documents are digitized?", "How many duplicates were blocked?", "Find records in Atlantis", "Check prevented duplicates", "show records of Salem", "find TN-4202000055433"]
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -803,6 +808,10 @@ ORACLES["nl_answer"] = RECORDS + " SELECT * FROM (" + " UNION ALL ".join(
             "'There are currently ' || (SELECT count(*) FROM records) || ' digitized government document record(s) in the platform.'",
             "'The deduplication engine has prevented ' || (SELECT count(*) FROM records WHERE id % 10 = 0) || ' duplicate document upload attempt(s) so far.'",
             "'No digitized records found. Try searching by a different name, district, or certificate number.'",
+            "'Retrieved ' || (SELECT least(10, count(*)) FROM records WHERE id % 10 = 0) || ' prevented duplicate attempt(s) from the audit log.'",
+            "(SELECT 'Found ' || count(*) || ' matching records (' || array_to_string(list_slice(list_sort(list_distinct(list(document_type))), 1, 2), ', ') || '). You can inspect any record using the cards below.' FROM (SELECT * FROM records WHERE lower(district) LIKE '%salem%' ORDER BY id DESC LIMIT 15))",
+            """(SELECT 'Found 1 ' || document_type || ' for ' || citizen_name || ' in ' || coalesce(nullif(district, ''), 'Tamil Nadu') || ' (Certificate/ID: ' || certificate_number || ' issued on ' || issue_date || ')' ||
+ CASE verification_status WHEN 'auto_verified' THEN ' (Status: Automated consistency and quality checks passed).' WHEN 'needs_review' THEN ' (Status: OCR-extracted, pending human review).' WHEN 'manually_verified' THEN ' (Status: Manually Verified).' ELSE ' (Status: Reviewed).' END FROM records WHERE certificate_number = 'TN-4202000055433')""",
         ],
         strict=True,
     )
