@@ -1,5 +1,6 @@
 """Operators on single documents: media, personal data, pages and transcripts."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -114,6 +115,82 @@ def test_broken_files(spark):
     assert {r.doc_id for r in rows if r.error} == {2, 3} and sum(r.doc_id == 1 for r in rows) == 4
 
 
+def second_reader(data):
+    """Clusters, cues and packets of a file whose elements all have sizes: a plain recursive reader, for comparison."""
+
+    def vint(at, keep):
+        width = next(w for w in range(1, 9) if data[at] >> 8 - w)
+        n = int.from_bytes(data[at : at + width], "big")
+        return (n if keep else n % 2 ** (7 * width)), at + width, width
+
+    def tree(at, end):
+        while at < end:
+            begin = at
+            name, at, _ = vint(at, True)
+            size, at, _ = vint(at, False)
+            yield f"{name:X}", begin, at, at + size
+            at += size
+
+    packets, clusters, cues = [], [], []
+    segment = next(e for e in tree(0, len(data)) if e[0] == "18538067")
+    for name, begin, a, b in tree(*segment[2:]):
+        if name == "1C53BB6B":
+            for _, _, a1, b1 in tree(a, b):
+                point = {n: v for n, *v in tree(a1, b1)}
+                where = {n: data[x:y] for n, _, x, y in tree(*point["B7"][1:])}
+                cues.append((int.from_bytes(data[point["B3"][1] : point["B3"][2]], "big"), segment[2] + int.from_bytes(where["F1"], "big")))
+        if name != "1F43B675":
+            continue
+        clusters.append(begin)
+        for kind, _, a1, b1 in tree(a, b):
+            if kind == "E7":
+                time = int.from_bytes(data[a1:b1], "big")
+            if kind != "A3":
+                continue
+            _, at, _ = vint(a1, False)
+            start, flags, at = time + int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2], at + 3
+            sizes = [b1 - at]
+            if lacing := flags & 6:
+                frames, at = data[at] + 1, at + 1
+                if lacing == 4:
+                    sizes = [(b1 - at) // frames] * frames
+                else:
+                    assert lacing == 6
+                    first, at, _ = vint(at, False)
+                    sizes = [first]
+                    for _ in range(frames - 2):
+                        raw, at, width = vint(at, False)
+                        sizes.append(sizes[-1] + raw - (2 ** (7 * width - 1) - 1))
+                    sizes.append(b1 - at - sum(sizes))
+            for size in sizes:
+                packets.append((start, at, at + size, begin, bool(flags & 128)))
+                start, at = start + size, at + size  # a sample is a byte
+    return packets, clusters, cues
+
+
+def test_digest_equals_a_second_reader(spark):
+    rng = random.Random(8)
+    texts = ["", "é" * 96, "x" * 1536, "y" * 1537, *("".join(rng.choices("ab é\n漢", k=rng.randint(1, 90_000))) for _ in range(12)), "long text " * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = {r.doc_id: bytes(r.media) for r in mk.encode(docs).collect()}
+    media = spark.createDataFrame([(k, len(texts[k].encode()), v) for k, v in files.items()], "doc_id long, n_bytes long, media binary")
+    table = {}
+    for r in mk.packets(media).collect():
+        assert r.track == 1 and r.error is None
+        table.setdefault(r.doc_id, []).append((r.packet, (r.timestamp, r.start, r.end, r.cluster, r.key), r.cued))
+    digests = {r.doc_id: r for r in mk.digest(mk.encode(docs)).collect()}
+    for k, text in enumerate(texts):
+        data, raw, d = files[k], text.encode(), digests[k]
+        packets, clusters, cues = second_reader(data)
+        assert [p for _, p, _ in sorted(table[k])] == packets and all(c for _, _, c in table[k])
+        assert [at for _, at in cues] == clusters and [t for t, _ in cues] == [next(p[0] for p in packets if p[3] == c) for c in clusters]
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert b"".join(data[a:b] for _, a, b, _, _ in packets) == payload
+        levels = zlib.crc32(b"".join((sum(data[a:b]) // (b - a)).to_bytes(2, "big") for _, a, b, _, _ in packets))
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"packets={len(packets)};clusters={len(clusters)};cues={len(cues)};last={packets[-1][0]};levels={levels:08x}")
+        assert tuple(d)[1:] == want
+
+
 def test_digest(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (None, "b" * 500)], "doc_id long, text string")
     got = {r.doc_id: r for r in mk.digest(mk.encode(docs)).collect()}
