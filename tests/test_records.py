@@ -333,3 +333,11 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and rows[0].n >= rows[-1].n
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+MATCHED = "id long, certificate_number string, aadhaar_number string, citizen_name string, issue_date string, dob string, district string"
+
+
+def test_pairs_are_not_shuffled_to_be_told_from_exact_ones(spark):
+    r = spark.createDataFrame([], MATCHED)
+    assert "LeftAnti" not in dedup.advanced(r, r)._jdf.queryExecution().analyzed().toString()
