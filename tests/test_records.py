@@ -341,3 +341,14 @@ MATCHED = "id long, certificate_number string, aadhaar_number string, citizen_na
 def test_pairs_are_not_shuffled_to_be_told_from_exact_ones(spark):
     r = spark.createDataFrame([], MATCHED)
     assert "LeftAnti" not in dedup.advanced(r, r)._jdf.queryExecution().analyzed().toString()
+
+
+def test_status_counts_the_matches_of_all_pairs(spark):
+    rows = [(1, "TN-1", "", "Boopathy A", "01-02-2020", None, "Salem"), (2, "TN-1", "", "Boopathy A", "01-02-2020", None, "Salem"), (3, "", "2000 1", "Boopathy B", "01-02-2020", None, "Salem"), (4, None, "2000 1", "Boopathy C", "", None, "Salem"), (5, "", "", "A Boopathy", "03-02-2020", None, ""), (6, "TN1", "2000 1", "Uma", None, "01-02-2020", "Erode"), (7, None, None, None, None, None, None), (8, "", "", "Boopathy A", "01-02-2020", None, "Erode")]
+    r = spark.createDataFrame(rows, MATCHED)
+    want = {k: [0, 0] for k in range(1, 9)}
+    for x in dedup.advanced(r, r).collect():
+        want[x.id][0] += 1
+        want[x.id][1] += x.match_type == "Exact Match"
+    got = {x.id: [x.matches, x.exact] for x in dedup.status(r, r).collect()}
+    assert got == want and want[1] == [5, 2] and want[7] == [0, 0]
