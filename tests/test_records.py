@@ -352,3 +352,14 @@ def test_status_counts_the_matches_of_all_pairs(spark):
         want[x.id][1] += x.match_type == "Exact Match"
     got = {x.id: [x.matches, x.exact] for x in dedup.status(r, r).collect()}
     assert got == want and want[1] == [5, 2] and want[7] == [0, 0]
+
+
+def test_ranking_sorts_pairs_without_their_texts(spark):
+    r = spark.createDataFrame([], MATCHED)
+    plan = dedup.ranked(dedup.advanced(r, r).filter("id > 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Possible Duplicate" not in plan.split("Window", 1)[-1]
+
+
+def test_ranking_keeps_types_and_breaks_ties_by_record(spark):
+    m = spark.createDataFrame([(1, 2, "Possible Duplicate", 100.0), (1, 3, "Exact Match", 100.0), (1, 4, "Possible Duplicate", 95.5), (2, 1, "Exact Match", 100.0)], "id long, record_id long, match_type string, score double")
+    assert sorted(map(tuple, dedup.ranked(m).collect())) == [(1, 2, "Possible Duplicate", 100.0, 2), (1, 3, "Exact Match", 100.0, 1), (1, 4, "Possible Duplicate", 95.5, 3), (2, 1, "Exact Match", 100.0, 1)]
