@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import extractors as ex
+from paperloom.plans import queries
+
+SF = "/root/testdata/sf0.001"
 
 CASES = {
     "income_certificate": ("REVENUE DEPARTMENT\nCertificate No: Tn-4202807036380\nThis is to certify that Thiru Gopal N son of Thiru Nachimuthu residing at Door No. 2\nAvinashi Taluk\nTicuppur District\nRs. 78ooo/jnnum\nDale: 11/07/2023", {"Certificate Number": "TN-4202807036380", "Citizen Name": "Gopal N", "Father / Husband Name": "Nachimuthu", "Annual Income": "Rs. 78,000", "District": "Tiruppur", "Taluk": "Avinashi", "Issue Date": "11-07-2023"}),
@@ -46,3 +49,8 @@ def test_close_district(spark):
 def test_each_pattern_is_searched_once(spark, extractor):
     plan = spark.createDataFrame([("",)], "t string").select(ex.extract(extractor, F.col("t")).alias("m"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp") <= 70  # 428, 520, 1,374 and 6,012 when each use of a value computed it anew
+
+
+@pytest.mark.parametrize("name", ["extract_dl_card"])
+def test_one_file_is_spread_over_many_tasks(spark, name):
+    assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 32  # 1 when the one task that read the orders extracted all
