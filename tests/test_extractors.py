@@ -52,7 +52,7 @@ def test_each_pattern_is_searched_once(spark, extractor):
     assert plan.count("regexp") <= 70  # 428, 520, 1,374 and 6,012 when each use of a value computed it anew
 
 
-@pytest.mark.parametrize("name", ["extract_dl_card", "extract_income"])
+@pytest.mark.parametrize("name", ["extract_dl_card", "extract_income", "extract_pan_card"])
 def test_one_file_is_spread_over_many_tasks(spark, name):
     assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 32  # 1 when the one task that read the orders extracted all
 
