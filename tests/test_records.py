@@ -363,3 +363,11 @@ def test_ranking_sorts_pairs_without_their_texts(spark):
 def test_ranking_keeps_types_and_breaks_ties_by_record(spark):
     m = spark.createDataFrame([(1, 2, "Possible Duplicate", 100.0), (1, 3, "Exact Match", 100.0), (1, 4, "Possible Duplicate", 95.5), (2, 1, "Exact Match", 100.0)], "id long, record_id long, match_type string, score double")
     assert sorted(map(tuple, dedup.ranked(m).collect())) == [(1, 2, "Possible Duplicate", 100.0, 2), (1, 3, "Exact Match", 100.0, 1), (1, 4, "Possible Duplicate", 95.5, 3), (2, 1, "Exact Match", 100.0, 1)]
+
+
+def test_names_are_compared_once_a_pair(spark):
+    r = spark.createDataFrame([(1, "Ramesh A"), (2, "Ramesh B"), (3, "Anand K")], "id long, citizen_name string").withColumns({"certificate_number": F.lit(None).cast("string"), "aadhaar_number": F.lit(None).cast("string"), "issue_date": F.lit("1-2-2020"), "dob": F.lit(None).cast("string"), "district": F.lit("Salem")})
+    found = dedup.status(r, r)
+    assert {x.id: (x.matches, x.status) for x in found.collect()} == {1: (1, "Possible Duplicate"), 2: (1, "Possible Duplicate"), 3: (0, "No Likely Duplicate Found")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Join" in x and "lambdafunction" in x]  # the comparison stood in the joins by day and by place, once for each pair of records' names there
