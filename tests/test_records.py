@@ -371,3 +371,9 @@ def test_names_are_compared_once_a_pair(spark):
     assert {x.id: (x.matches, x.status) for x in found.collect()} == {1: (1, "Possible Duplicate"), 2: (1, "Possible Duplicate"), 3: (0, "No Likely Duplicate Found")}
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [x for x in plan if "Join" in x and "lambdafunction" in x]  # the comparison stood in the joins by day and by place, once for each pair of records' names there
+
+
+def test_ranking_compares_no_names_in_joins(spark):
+    r = store.corpus(spark, SF)
+    plan = dedup.ranked(dedup.advanced(r.filter("id % 20 = 0"), r))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Join" in x and "array_insert" in x]
