@@ -377,3 +377,22 @@ def test_ranking_compares_no_names_in_joins(spark):
     r = store.corpus(spark, SF)
     plan = dedup.ranked(dedup.advanced(r.filter("id % 20 = 0"), r))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [x for x in plan if "Join" in x and "array_insert" in x]
+
+
+@pytest.mark.parametrize("size", [3, 512])
+def test_ranking_by_lists_equals_sorting_all_matches(spark, size):
+    long = "balasubramaniam chandrasekaran k"
+    names = ["Ramesh A", "A Ramesh", "Ramesh B", "Thiru Ramesh A", "Boopathy A", "Boopathy B", long, long[:-2], None, "ab"]
+    made = [(i, names[i * 7 % 11 % 10], f"TN-{i % 23}" if i % 3 == 0 else None, f"2000 0000 {1000 + i % 17}" if i % 4 == 0 else None, ["", "1-2-2020", "3-4-2021"][i % 3], None, ["", "Salem", "Erode"][i * 5 % 7 % 3]) for i in range(150)]
+    r = spark.createDataFrame(made, "id long, citizen_name string, certificate_number string, aadhaar_number string, issue_date string, dob string, district string")
+    others = spark.createDataFrame([(1000, "Nobody Else", "TN-3", None, "", None, ""), (-5, "Ramesh A", "TN-6", None, "1-2-2020", None, "Salem")], r.schema)
+    c, store_ = r.filter("id % 4 = 0").union(others), r.filter("id % 12 <> 0")
+    want, got = dedup.ranked(dedup.advanced(c, store_)), dedup.ranking(c, store_, size)
+    assert got.schema == want.schema
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and {(x[2], x[3] == 100) for x in rows} == {("Exact Match", True), ("Possible Duplicate", True), ("Possible Duplicate", False)}
+
+
+def test_ranking_sorts_no_equal_names(spark):
+    plan = QUERIES["duplicate_ranking"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("Union") and "Generate posexplode(ids" in plan[2]  # a window over all matches before
