@@ -62,3 +62,8 @@ def test_districts_take_one_search(spark):
     found = rows.select("want", tx.district_in_text(F.col("t")).alias("d"))
     assert all(r.want == r.d for r in found.collect())
     assert found._jdf.queryExecution().analyzed().toString().lower().count("like") == 0  # 39 when each district was searched for by itself
+
+
+def test_pan_lines_are_cleaned_once(spark):
+    plan = spark.createDataFrame([("",)], "t string").select(ex.extract("pan_card", F.col("t")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("rcsiding") <= 5  # 7 when lines were cleaned to be judged and again to be names
