@@ -396,3 +396,12 @@ def test_ranking_by_lists_equals_sorting_all_matches(spark, size):
 def test_ranking_sorts_no_equal_names(spark):
     plan = QUERIES["duplicate_ranking"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert plan[0].startswith("Union") and "Generate posexplode(ids" in plan[2]  # a window over all matches before
+
+
+def test_advanced_duplicates_reads_records_once(spark):
+    found = QUERIES["advanced_duplicates"](spark, SF)
+    found.write.format("noop").mode("overwrite").save()
+    assert "Generate explode(ids" in found._jdf.queryExecution().optimizedPlan().toString()  # pairs of similar names were joined, one by one
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert rows and plan.count("orders.parquet") == 2  # once for candidates and once for records; before, once for each join
