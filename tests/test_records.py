@@ -405,3 +405,10 @@ def test_advanced_duplicates_reads_records_once(spark):
     rows = found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert rows and plan.count("orders.parquet") == 2  # once for candidates and once for records; before, once for each join
+
+
+def test_ranking_reads_records_once(spark):
+    found = QUERIES["duplicate_ranking"](spark, SF)
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert rows and plan.count("orders.parquet") == 2  # once for candidates and once for records; before, once for each join
